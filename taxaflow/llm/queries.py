@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from taxaflow.llm import leaks, repetition, splits, tokenizer
+from taxaflow.llm import canonical, leaks, ocr, repetition, splits, tokenizer
 
 
 def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -19,6 +19,27 @@ def p1_split(spark: SparkSession, d: str) -> DataFrame:
     return splits.split(_read(spark, d, "training_index"))
 
 
+def _canonical(spark: SparkSession, d: str) -> DataFrame:
+    records = _read(spark, d, "training_index").select("rec_id", "binomial", "genus")
+    return canonical.canonical(records, _read(spark, d, "ref_taxa"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _canonical(spark, d).select("rec_id", "taxon_id")
+
+
+def p2_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.unmatched(_canonical(spark, d))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return ocr.noise(_read(spark, d, "training_index").select("rec_id", "caption_raw"))
+
+
+def p7_text(spark: SparkSession, d: str) -> DataFrame:
+    return ocr.repair(_read(spark, d, "training_index").select("rec_id", "caption_raw")).select("rec_id", "text")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizer.encode(_read(spark, d, "documents").select("doc_id", "text")).select("doc_id", "ids")
 
@@ -48,6 +69,6 @@ def p10_lines(spark: SparkSession, d: str) -> DataFrame:
     return repetition.line_frequency(_read(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_split, p8_ids, p8_roundtrip, p9_found, p9_report, p10_found, p10_shares, p10_lines)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_split, p2_found, p2_unmatched, p7_found, p7_text, p8_ids, p8_roundtrip, p9_found, p9_report, p10_found, p10_shares, p10_lines)}
 
 SQL = {}
