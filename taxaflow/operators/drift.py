@@ -304,41 +304,55 @@ def _rewritten(v, path: str, names: dict[str, str]):
     return v
 
 
+def first_names(raw: DataFrame, change: DataFrame) -> DataFrame:
+    """(file_name, names): of each file after a renaming, which path had which name in its series' first file.
+
+    The renamings of a series (one row each, not its records) are put in order
+    and carried from file to file.
+    """
+    files = raw.select("series", F.col("file_seq").cast("long").alias("file_seq"), "file_name").distinct()
+    per_file = change.filter("change = 'renamed'").groupBy("file_name").agg(F.array_sort(F.collect_list(F.struct("old_path", "new_path"))).alias("r"))
+    of_series = files.join(per_file, "file_name").groupBy("series").agg(F.array_sort(F.collect_list(F.struct("file_seq", "r"))).alias("steps"))
+
+    def carry(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for s, steps in zip(b["series"], b["steps"], strict=True):
+                names: dict[str, str] = {}
+                for step in steps:
+                    for r in step["r"]:
+                        o, n = r["old_path"], r["new_path"]
+                        names[n] = names.pop(o, o.rpartition(".")[2])
+                        for p in [p for p in names if p.startswith((o + ".", o + "[]"))]:
+                            names[n + p[len(o) :]] = names.pop(p)
+                    rows.append((s, step["file_seq"], json.dumps(names)))
+            yield pd.DataFrame(rows, columns=["series", "from_seq", "names"])
+
+    steps = of_series.mapInPandas(carry, "series string, from_seq long, names string")
+    both = files.join(steps, ["series"]).filter("from_seq <= file_seq")
+    return both.groupBy("file_name").agg(F.max_by("names", "from_seq").alias("names"))
+
+
 def unify(raw: DataFrame, change: DataFrame, schema: str) -> DataFrame:
-    """One row per readable line: (raw_id, series, file_name, id, record), record cast to ``schema``.
+    """One row per readable line: (raw_id, series, file_name, id, record, rest), record cast to ``schema``.
 
     Renamed fields get back the name they had in the first file of their series;
-    a value that can't be cast is null in ``record`` and kept in
-    ``rest`` (the rewritten JSON text), where also fields outside the schema stay.
+    a value that can't be cast is null in ``record`` and kept in ``rest`` (the
+    rewritten JSON text), where also fields outside the schema stay.
     """
-    renames = (
-        change.filter("change = 'renamed'")
-        .join(raw.select("series", F.col("file_seq").cast("long").alias("file_seq"), "file_name").distinct(), "file_name")
-        .groupBy("series")
-        .agg(F.array_sort(F.collect_list(F.struct("file_seq", "old_path", "new_path"))).alias("renames"))
-    )
 
     def rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[tuple, dict[str, str]] = {}
+        known: dict[str, dict[str, str]] = {}
         for b in batches:
             out = []
-            for rid, s, f, seq, line, ren in zip(b["raw_id"], b["series"], b["file_name"], b["file_seq"], b["record_json"], b["renames"], strict=True):
+            for rid, s, f, line, names in zip(b["raw_id"], b["series"], b["file_name"], b["record_json"], b["names"], strict=True):
                 v = readable(line)
                 if v is None:
                     continue
-                if (s, seq) not in known:
-                    names: dict[str, str] = {}
-                    for r in () if ren is None else ren:
-                        if r["file_seq"] <= seq:
-                            o, n = r["old_path"], r["new_path"]
-                            names[n] = names.pop(o, o.rpartition(".")[2])
-                            for p in [p for p in names if p.startswith((o + ".", o + "[]"))]:
-                                names[n + p[len(o) :]] = names.pop(p)
-                    known[s, seq] = names
-                w = _rewritten(v, "", known[s, seq])
+                w = _rewritten(v, "", known.setdefault(names, json.loads(names))) if names else v
                 out.append((rid, s, f, w.get("id") if isinstance(w.get("id"), str) else None, json.dumps(w, ensure_ascii=False)))
             yield pd.DataFrame(out, columns=["raw_id", "series", "file_name", "id", "rest"])
 
-    lines = raw.select("raw_id", "series", "file_name", F.col("file_seq").cast("long").alias("file_seq"), "record_json").join(renames, "series", "left")
+    lines = raw.select("raw_id", "series", "file_name", "record_json").join(first_names(raw, change), "file_name", "left")
     rows = lines.mapInPandas(rewrite, "raw_id long, series string, file_name string, id string, rest string")
     return rows.select("raw_id", "series", "file_name", "id", F.from_json("rest", schema).alias("record"), "rest")
