@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from taxaflow.functions import patterns as P
+from taxaflow.functions.columns import let
 
 
 def _struct(genus, species, binomial, confidence: float, uncertain: bool, rule: str, found, snippet) -> Column:
@@ -40,21 +41,14 @@ def epithet(text: Column, vocabulary: Iterable[str] | None = P.BUILT_IN_GENERA)
     pairs = F.transform(pairs, lambda m: F.array_join(words(m), " "))
     genera = F.filter(F.regexp_extract_all(text, F.lit(P.GENUS), F.lit(1)), known)
     snippet = F.substring(text, 1, 180)
-    both = F.struct(pairs.alias("pairs"), genera.alias("genera"))
-    # computed once: the lists are the argument of a lambda
-    return F.get(
-        F.transform(
-            F.array(both),
-            lambda x: F.when(~F.coalesce(text.rlike(r"(?U)\S"), F.lit(False)), _struct(None, None, None, 0.0, True, "empty-caption", None, None))
-            .when(P.blocked(text), _struct(None, None, None, 0.0, True, "blocked-section", None, snippet))
-            .when(
-                F.size(x["pairs"]) > 0,
-                _struct(F.get(F.split(F.get(x["pairs"], F.lit(0)), " "), F.lit(0)), F.get(F.split(F.get(x["pairs"], F.lit(0)), " "), F.lit(1)), F.get(x["pairs"], F.lit(0)), 0.95, False, "binomial-strict", F.array_distinct(x["pairs"]), snippet),
-            )
-            .when(F.size(x["genera"]) > 0, _struct(F.get(x["genera"], F.lit(0)), None, None, 0.65, True, "genus-only", F.slice(x["genera"], 1, 1), snippet))
-            .otherwise(_struct(None, None, None, 0.0, True, "no-match", None, snippet)),
-        ),
-        F.lit(0),
+    names = lambda x: F.split(F.get(x["pairs"], F.lit(0)), " ")
+    return let(
+        F.struct(pairs.alias("pairs"), genera.alias("genera")),
+        lambda x: F.when(~F.coalesce(text.rlike(r"(?U)\S"), F.lit(False)), _struct(None, None, None, 0.0, True, "empty-caption", None, None))
+        .when(P.blocked(text), _struct(None, None, None, 0.0, True, "blocked-section", None, snippet))
+        .when(F.size(x["pairs"]) > 0, _struct(F.get(names(x), F.lit(0)), F.get(names(x), F.lit(1)), F.get(x["pairs"], F.lit(0)), 0.95, False, "binomial-strict", F.array_distinct(x["pairs"]), snippet))
+        .when(F.size(x["genera"]) > 0, _struct(F.get(x["genera"], F.lit(0)), None, None, 0.65, True, "genus-only", F.slice(x["genera"], 1, 1), snippet))
+        .otherwise(_struct(None, None, None, 0.0, True, "no-match", None, snippet)),
     )
 
 

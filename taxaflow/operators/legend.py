@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from taxaflow.functions import patterns as P
+from taxaflow.functions.columns import let
 from taxaflow.functions.naming import without_last_part
 
 _HIT = "array<struct<number:int,genus:string,epithet:string,strategy:string,confidence:double>>"
@@ -51,21 +52,34 @@ def legends(pages: DataFrame, vocabulary: Iterable[str] | None = P.BUILT_IN_GENE
     text = F.coalesce("text", F.lit(""))
     by_pdf = W.partitionBy("pdf").orderBy("page")
     p = pages.withColumn("_before", F.coalesce(F.lag("text").over(by_pdf), F.lit(""))).withColumn("_after", F.coalesce(F.lead("text").over(by_pdf), F.lit("")))
-    p = p.withColumn("_a", _add(none, _hits(text, P.LEGEND_STRICT, "legend_strict", vocabulary)))
-    p = p.withColumn("_b", F.when(F.size("_a") < 2, _add(F.col("_a"), _hits(text, P.LEGEND_LOOSE, "legend_loose", vocabulary))).otherwise(F.col("_a")))
-    caption = F.regexp_extract(text, P.FIGURE_CAPTION, 1)
-    p = p.withColumn("_c", F.when(F.size("_b") < 2, _add(F.col("_b"), _hits(caption, P.CAPTION_PAIRS, "caption_pairs", vocabulary))).otherwise(F.col("_b")))
-    genera = F.transform("_c", lambda x: x["genus"])
+    strict = _hits(text, P.LEGEND_STRICT, "legend_strict", vocabulary)
+    loose = _hits(text, P.LEGEND_LOOSE, "legend_loose", vocabulary)
+    paired = _hits(F.regexp_extract(text, P.FIGURE_CAPTION, 1), P.CAPTION_PAIRS, "caption_pairs", vocabulary)
+    near = F.concat(_hits(F.col("_before"), P.LEGEND_STRICT, "adjacent_pages", vocabulary), _hits(F.col("_after"), P.LEGEND_STRICT, "adjacent_pages", vocabulary))
+    grow = lambda more: lambda acc: F.when(F.size(acc) < 2, _add(acc, more)).otherwise(acc)
+    stages = let(_add(none, strict), lambda a: let(grow(loose)(a), lambda b: let(grow(paired)(b), lambda c: let(_abbreviated(text, c, vocabulary), lambda e: F.when(F.size(e) == 0, _add(none, near)).otherwise(e)))))
+    return p.withColumn("legend", stages).drop("_before", "_after")
+
+
+def _modal(hits: Column) -> Column:
+    """The most frequent genus; of equals the first seen."""
+    genera = F.transform(hits, lambda x: x["genus"])
     counted = F.transform(F.array_distinct(genera), lambda g, i: F.struct(F.size(F.filter(genera, lambda h: h == g)).alias("n"), (-i).alias("i"), g.alias("g")))
-    p = p.withColumn("_modal", F.array_max(counted)["g"])
+    return F.array_max(counted)["g"]
+
+
+def _abbreviated(text: Column, hits: Column, vocabulary: Iterable[str] | None) -> Column:
+    """``hits`` with the entries whose genus is given by its initial, read as the most frequent genus."""
     short = lambda i: F.regexp_extract_all(text, F.lit(P.ABBREVIATED), F.lit(i))
-    z = F.arrays_zip(short(1).alias("n"), short(2).alias("g"), short(3).alias("e"))
-    z = F.filter(z, lambda x: (x["g"] == F.substring("_modal", 1, 1)) & (F.length(x["e"]) >= 5) & P.valid_binomial(F.col("_modal"), x["e"]))
-    z = F.transform(z, lambda x: F.struct(x["n"].cast("int").alias("number"), F.col("_modal").alias("genus"), x["e"].alias("epithet"), F.lit("abbreviated").alias("strategy"), _rounded("abbreviated", vocabulary, F.col("_modal")).alias("confidence"))).cast(_HIT)
-    p = p.withColumn("_d", F.when(F.size("_c") > 0, _add(F.col("_c"), z)).otherwise(F.col("_c")))
-    near = F.concat(_hits(F.col("_before"), P.LEGEND_STRICT, "adjacent_pages", vocabulary), _hits(F.col("_after"), P.LEGEND_STRICT, "adjacent_pages", vocabulary))
-    p = p.withColumn("legend", F.when(F.size("_d") == 0, _add(none, near)).otherwise(F.col("_d")))
-    return p.drop("_before", "_after", "_a", "_b", "_c", "_modal", "_d")
+
+    def entries(genus: Column) -> Column:
+        z = F.arrays_zip(short(1).alias("n"), short(2).alias("g"), short(3).alias("e"))
+        z = F.filter(z, lambda x: (x["g"] == F.substring(genus, 1, 1)) & (F.length(x["e"]) >= 5) & P.valid_binomial(genus, x["e"]))
+        return F.transform(
+            z, lambda x: F.struct(x["n"].cast("int").alias("number"), genus.alias("genus"), x["e"].alias("epithet"), F.lit("abbreviated").alias("strategy"), _rounded("abbreviated", vocabulary, genus).alias("confidence"))
+        ).cast(_HIT)
+
+    return F.when(F.size(hits) > 0, _add(hits, let(_modal(hits), entries))).otherwise(hits)
 
 
 def page_fallback(text: Column, vocabulary: Iterable[str] | None = P.BUILT_IN_GENERA) -> Column:

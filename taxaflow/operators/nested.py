@@ -20,10 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-def _let(value: Column, f) -> Column:
-    """``f(value)`` with ``value`` computed once, however often ``f`` uses it."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
+from taxaflow.functions.columns import let
 
 
 def _child_arrays(t: T.StructType, at: tuple = ()) -> list[tuple[tuple, T.StructType]]:
@@ -64,7 +61,7 @@ def _tree(c: Column, t: T.StructType) -> Column:
 
     def build(kids: Column | None) -> Column:
         nodes = {p: F.transform(kids[f"c{i}"], lambda x: x["node"]) for i, (p, _) in enumerate(arrays)}
-        return _let(
+        return let(
             _canonical(c, t, (), nodes),
             lambda text: F.struct(
                 F.substring(F.sha2(text, 256), 1, 32).alias("node"),
@@ -81,7 +78,7 @@ def _tree(c: Column, t: T.StructType) -> Column:
         for name in path:
             arr = arr.getField(name)
         kids.append(F.transform(arr, _subtree(e)).alias(f"c{i}"))
-    return _let(F.struct(*kids), build)
+    return let(F.struct(*kids), build)
 
 
 def _subtree(e: T.StructType):
@@ -133,7 +130,7 @@ def occurrences(df: DataFrame, key: str, columns: list[str], labels: dict[str, s
         if not isinstance(t, T.StructType):
             raise TypeError(f"{name} is {t.simpleString()}, not a struct")
         rows = _rows_of(name, t, labels or {})
-        parts.append(_let(_tree(F.col(f"`{name}`"), t), rows))
+        parts.append(let(_tree(F.col(f"`{name}`"), t), rows))
     out = df.select(F.col(f"`{key}`").alias("_key"), F.explode(F.concat(*parts)).alias("_o"))
     return out.select(F.col("_key").alias(key), "_o.*").filter("node IS NOT NULL")
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from taxaflow.functions import raster
 from taxaflow.operators.records import classified
+from taxaflow.runtime import spread
 
 FEATURES = "image_id long, width int, height int, sat_mean double, white_bg_ratio double, edge_density double, hist_entropy double, blue_dominance double"
 BOX = "image_id long, box int, x int, y int, w int, h int"
@@ -40,7 +41,7 @@ def _each(images: DataFrame, schema: str, of: Callable[[int, np.ndarray], list[t
                 rows += of(int(i), img)
             yield pd.DataFrame(rows, columns=names)
 
-    return images.select("image_id", "height", "width", "channels", "data").mapInPandas(run, schema)
+    return spread(images.select("image_id", "height", "width", "channels", "data")).mapInPandas(run, schema)
 
 
 def features(images: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from taxaflow.functions import naming, vectors
 from taxaflow.functions import patterns as P
 from taxaflow.operators import captions, graph, legend, records, similarity, vision
+from taxaflow.runtime import spread
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -631,7 +632,7 @@ def _images(spark: SparkSession, d: str, side: int = 256) -> DataFrame:
                 data.append(np.where(inside, 30, 250).astype(np.uint8).transpose(0, 2, 1, 3).reshape(side, side).tobytes())
             yield pd.DataFrame({"image_id": b["vec_id"], "height": side, "width": side, "channels": 1, "data": data})
 
-    return _read(spark, d, "embeddings").select("vec_id", "embedding").mapInPandas(draw, "image_id long, height int, width int, channels int, data binary")
+    return spread(_read(spark, d, "embeddings").select("vec_id", "embedding")).mapInPandas(draw, "image_id long, height int, width int, channels int, data binary")
 
 
 @query()

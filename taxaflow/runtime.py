@@ -79,6 +79,15 @@ class SharedTables:
             self._delete(self.root)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as there are cores, for costly work per row on few or small files.
+
+    Inputs of many files, as all large ones are, have more partitions than that and aren't moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def has_rows(df: DataFrame) -> bool:
     return bool(df.limit(1).count())
 
