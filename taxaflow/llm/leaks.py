@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from taxaflow.runtime import spread
+
 GROUP, BLOCK = 4096, 128
 PASSAGE, STRIDE = 48, 24
 RUN, ALTERED = 20, 10
@@ -168,7 +170,7 @@ def find(docs: DataFrame, items: DataFrame) -> DataFrame:
                 pairs = [(d, i) for d, t in zip(b["doc_id"], b["text"], strict=True) for i in index.value.leaks(t)]
                 yield pd.DataFrame(pairs, columns=["doc_id", "item_id"]).astype({"doc_id": "int64", "item_id": "int32"})
 
-        hits = docs.select("doc_id", "text").mapInPandas(search, "doc_id long, item_id int")
+        hits = spread(docs.select("doc_id", "text")).mapInPandas(search, "doc_id long, item_id int")
         out = hits if out is None else out.union(hits)
         if len(group) < GROUP:
             return out

@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from taxaflow.runtime import spread
+
 RARE = 1e-6
 #: How characters are misread (fixed values): as read, as printed.
 CONFUSED = [
@@ -312,7 +314,7 @@ def repair(records: DataFrame, key: str = "rec_id", column: str = "caption_raw")
             yield pd.DataFrame({key: b[key], "text": [g[0] for g in got], "kinds": [sorted(g[1]) for g in got]})
 
     rows = records.select(key, F.col(column).alias("t")).filter("t IS NOT NULL")
-    return rows.mapInPandas(run, f"{key} long, text string, kinds array<string>")
+    return spread(rows).mapInPandas(run, f"{key} long, text string, kinds array<string>")
 
 
 def noise(records: DataFrame) -> DataFrame:

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from taxaflow.runtime import spread
+
 WORD = re.compile(r"\w+")
 
 
@@ -49,7 +51,7 @@ def within(docs: DataFrame, run: int = 5) -> DataFrame:
             out.insert(0, "doc_id", b["doc_id"].to_numpy())
             yield out
 
-    rows = docs.select("doc_id", "text").mapInPandas(measure, "doc_id long, repeated long, words long")
+    rows = spread(docs.select("doc_id", "text")).mapInPandas(measure, "doc_id long, repeated long, words long")
     return rows.withColumn("share", F.when(F.col("words") > 0, F.col("repeated") / F.col("words")).otherwise(F.lit(0.0)))
 
 

@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from taxaflow.runtime import spread
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pre-token pattern that belongs to the vocabulary (fixed value).
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -120,6 +122,7 @@ def encode(docs: DataFrame, text: str | Column = "text", path: str = VOCABULARY)
 
     The text is taken as it is. Strings of special tokens in it are ordinary text.
     """
+    docs = spread(docs)
     return docs.withColumn("ids", _udf(docs, T.ArrayType(T.IntegerType()), path, "encode")(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))))
 
 
