@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from taxaflow.functions import naming, vectors
 from taxaflow.functions import patterns as P
-from taxaflow.operators import captions, graph, legend, records, similarity, vision
+from taxaflow.operators import captions, graph, legend, pipelines, records, similarity, vision
 from taxaflow.runtime import spread
 
 Q: dict = {}
@@ -670,4 +670,62 @@ def a16_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return _read(spark, d, "training_index").groupBy("image_type").agg(q(0.05).alias("p5"), q(0.95).alias("p95"), q(0.5).alias("mid"))
 
 
+# --- pipelines ---------------------------------------------------------------
+
+
+def _image_table(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes with what a pipeline knows of an image: figure number, hash of its content, type seen."""
+    t = _read(spark, d, "training_index").select(F.col("rec_id").alias("image_id"), "fig_index", F.element_at(F.split("id", "__"), -1).alias("content_hash"), "image_type", "classifier")
+    return _boxes(spark, d).join(t, "image_id").withColumnRenamed("paper", "pdf").withColumn("fig_index", F.coalesce("fig_index", F.lit(0)))
+
+
+@query()
+def e10_page_records(spark: SparkSession, d: str) -> DataFrame:
+    g = [r["genus"] for r in _read(spark, d, "ref_taxa").filter("taxon_rank = 'genus'").select("genus").limit(5000).collect()]
+    i = _image_table(spark, d)
+    crops = i.select("pdf", "page", F.col("image_id").alias("crop_id"), "fig_index", ((F.col("x0") + F.col("x1")) / 2).alias("cx"), ((F.col("y0") + F.col("y1")) / 2).alias("cy"), "content_hash")
+    kinds = i.select(F.col("image_id").alias("crop_id"), "image_type", "classifier.confidence", F.col("classifier.rule_fired").alias("rule"))
+    return pipelines.page_records(crops, _blocks(spark, d).withColumnRenamed("paper", "pdf"), _pages(spark, d), kinds, g)
+
+
+@query()
+def e11_caption_records(spark: SparkSession, d: str) -> DataFrame:
+    i = _image_table(spark, d)
+    return pipelines.caption_records(i.drop("classifier", "image_type"), _blocks(spark, d).withColumnRenamed("paper", "pdf"), _pages(spark, d), i.select("image_id", "image_type"))
+
+
+@query()
+def e13_relabel(spark: SparkSession, d: str) -> DataFrame:
+    t = _read(spark, d, "training_index").select("rec_id", "image_type", "image_type_raw", "caption_raw", "saved_to")
+    return pipelines.relabel(t)[0]
+
+
+@query()
+def e12_identified(spark: SparkSession, d: str) -> DataFrame:
+    e = _read(spark, d, "embeddings")
+    vecs = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    q = vecs.filter("id % 50 = 0").select(F.col("id").alias("query_id"), "vector", F.lit("starform").alias("observed"))
+    return pipelines.identified(q, vecs, e.select(F.col("vec_id").alias("id"), F.col("label").alias("genus"), F.lit(1.0).alias("label_confidence")), graph.morphotype_table(*_graph(spark, d)))
+
+
+@query()
+def d1_hash_split(spark: SparkSession, d: str) -> DataFrame:
+    return pipelines.hash_split(_read(spark, d, "training_index").select("rec_id", "id"), "id")
+
+
+@query()
+def d3_sampled_pairs(spark: SparkSession, d: str) -> DataFrame:
+    _, e = _graph(spark, d)
+    return pipelines.sampled_pairs(e, _anchors(e))
+
+
+@query(
+    """SELECT paper, image_type AS truth, count(*) AS n, round(avg((image_type = classifier.image_type)::INT), 6) AS accuracy FROM training_index
+WHERE paper IS NOT NULL AND image_type IS NOT NULL GROUP BY ROLLUP (paper, image_type)"""
+)
+def d5_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    t = _read(spark, d, "training_index").filter("paper IS NOT NULL AND image_type IS NOT NULL").select("paper", F.col("image_type").alias("truth"), F.col("classifier.image_type").alias("guess"))
+    return pipelines.accuracy(t, "paper", "truth", "guess").withColumn("accuracy", F.round("accuracy", 6))
+
+
 QUERIES = Q
