@@ -254,12 +254,27 @@ def a6_duplicate_edges(spark: SparkSession, d: str) -> DataFrame:
     return graph.duplicate_edges(_stated(spark, d))
 
 
-@query()
+_AUDIT = """, gap AS (SELECT rule, id, name FROM n JOIN (VALUES ('Class', 'BELONGS_TO_PHYLUM', 'Classes without phylum'), ('Order', 'BELONGS_TO_CLASS', 'Orders without class'),
+  ('Genus', 'BELONGS_TO_ORDER', 'Genera without order'), ('Species', 'BELONGS_TO_GENUS', 'Species without genus')) r(label, type, rule) USING (label)
+  WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.src = n.id AND s.type = r.type)),
+f(category, bad, message, n) AS (
+  SELECT 'Orphan Nodes', 'ERROR', ' nodes without any connections', count(*) FROM n WHERE id NOT IN (SELECT src FROM s UNION SELECT dst FROM s)
+  UNION ALL SELECT 'Broken References', 'ERROR', ' broken edge references', (SELECT count(*) FROM s WHERE src NOT IN (SELECT id FROM n)) + (SELECT count(*) FROM s WHERE dst NOT IN (SELECT id FROM n))
+  UNION ALL SELECT 'Duplicate Edges', 'WARNING', ' duplicate relationships', (SELECT count(*) FROM s) - (SELECT count(*) FROM (SELECT DISTINCT src, type, dst FROM s))
+  UNION ALL SELECT 'Morphotype Coverage', 'WARNING', ' genera without morphotype', count(*) FROM n WHERE label = 'Genus' AND id NOT IN (SELECT src FROM s WHERE type = 'HAS_MORPHOTYPE')
+  UNION ALL SELECT 'Geographic Distribution', 'WARNING', ' species without distribution', count(*) FROM n WHERE label = 'Species' AND id NOT IN (SELECT src FROM s WHERE type = 'OCCURS_IN')),
+a AS (SELECT category, CASE WHEN n > 0 THEN bad ELSE 'INFO' END AS severity, n::VARCHAR || message AS message, n FROM f
+  UNION ALL SELECT 'Taxonomic Hierarchy', CASE WHEN count(g.id) = 0 OR (rule = 'Genera without order' AND count(g.id) = 1 AND coalesce(contains(min(g.name), 'Anguillospora'), false)) THEN 'INFO' ELSE 'WARNING' END,
+  rule || ': ' || count(g.id), count(g.id) FROM (VALUES ('Classes without phylum'), ('Orders without class'), ('Genera without order'), ('Species without genus')) r(rule) LEFT JOIN gap g USING (rule) GROUP BY rule)
+"""
+
+
+@query(_G + _AUDIT + "SELECT category, severity, message, n FROM a")
 def a5_audit(spark: SparkSession, d: str) -> DataFrame:
     return graph.audit(_nodes(spark, d), _stated(spark, d))
 
 
-@query()
+@query(_G + _AUDIT + "SELECT severity, count(*) AS findings, sum(n)::BIGINT AS items, (SELECT coalesce(sum(n), 0) = 0 FROM a WHERE severity = 'ERROR') AS passes FROM a GROUP BY severity")
 def a5_audit_summary(spark: SparkSession, d: str) -> DataFrame:
     return graph.audit_summary(graph.audit(_nodes(spark, d), _stated(spark, d)))
 
@@ -347,7 +362,19 @@ def f22_rule_cascade(spark: SparkSession, d: str) -> DataFrame:
 _ASCII = "regexp_replace(regexp_replace(regexp_replace(coalesce({}, ''), '[\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]', ' ', 'g'), '[^\\x00-\\x7F\\p{{L}}\\p{{M}}\\p{{N}}]', '#', 'g'), '[^\\x00-\\x7F]', '_', 'g')"
 
 
-@query()
+_RELABEL = (
+    "WITH t AS (SELECT rec_id, saved_to, caption_raw, " + _ASCII.format("caption_raw") + " AS a FROM training_index WHERE image_type = 'AMBIGUOUS'),\n"
+    "r AS (SELECT rec_id, saved_to, CASE WHEN <noise> THEN 'NOISE' WHEN regexp_matches(a, '<tree>') THEN 'DRAWING' WHEN regexp_matches(a, '<micro>') THEN 'MICROSCOPY' ELSE 'AMBIGUOUS' END AS new_raw FROM t)\n"
+    "SELECT rec_id, new_raw, CASE WHEN new_raw = 'NOISE' THEN 'AMBIGUOUS' ELSE new_raw END AS new_type, regexp_extract(saved_to, '^(.*?)[^/]*/[^/]*$', 1)"
+    " || CASE WHEN new_raw = 'NOISE' THEN 'ambiguous/noise' ELSE lower(new_raw) END || '/' || regexp_extract(saved_to, '([^/]*)$', 1) AS new_path FROM r"
+)
+
+
+@query(
+    _RELABEL.replace("<noise>", " OR ".join(f"contains(lower(coalesce(caption_raw, '')), '{k}')" for k in P.NOISE_KEYWORDS))
+    .replace("<tree>", P.TREE_CAPTION.replace("(?iU)", "(?i)"))
+    .replace("<micro>", P.MICROSCOPY_CAPTION.replace("(?iU)", "(?i)").replace("ó", "_"))
+)
 def f24_relabelled(spark: SparkSession, d: str) -> DataFrame:
     t = _read(spark, d, "training_index")
     r = records.relabelled(t.select("rec_id", "image_type", "caption_raw", "saved_to"))
