@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -131,22 +132,24 @@ def holds(item: list[str], doc: list[str], run: int = RUN, per: int = ALTERED) -
     for i, w in enumerate(item):
         at.setdefault(w, []).append(i)
     most = max(len(item) // per, 1)
-    recent: dict[tuple[int, int], list[int]] = {}
-    for j, w in enumerate(doc):
+    recent: deque[dict[int, list[int]]] = deque(maxlen=5)  # matches of the last words of the document, latest first
+    for w in doc:
+        here: dict[int, list[int]] = {}
         for i in at.get(w, ()):
             best = [1] + [0] * most
-            for gi in range(3):
-                for gj in range(2 * gi + 2):
-                    if (old := recent.get((i - gi - 1, j - gj - 1))) is None:
+            for gj, before in enumerate(recent):
+                for gi in range(3):
+                    if gj > 2 * gi + 1 or (old := before.get(i - gi - 1)) is None:
                         continue
                     cost = max(gi, gj - gi)
                     for k in range(most + 1 - cost):
                         if old[k] and old[k] + gi + 1 > best[k + cost]:
                             best[k + cost] = old[k] + gi + 1
-            recent[i, j] = best
+            here[i] = best
             for k, n in enumerate(best):
                 if n >= run and k * per <= n:
                     return True
+        recent.appendleft(here)
     return False
 
 

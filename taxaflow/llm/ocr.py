@@ -35,7 +35,8 @@ CONFUSED = [
 ]
 #: Signs that no printed word holds between its letters.
 ODD = re.compile(r"[€@|!$ﬁﬂ]|\d")
-TIMES, LEAST = 8, 3
+#: A misreading is rarer than the word by this factor; a word is known from this count on; no word is longer.
+TIMES, LEAST, LONGEST = 8, 3, 60
 BREAK = "\x01"
 
 _NEWLINE = re.compile("\r\n|[\n\r\x85\u2028\u2029]")
@@ -57,7 +58,7 @@ _HEADS = [
     )
 ]
 _CHUNK = re.compile(r"\S+")
-_CORE = re.compile(r"^(\W*)(.*?)([\W]*)$", re.S)
+_SIGNS = re.compile(r"\W*")
 _END = re.compile(r"[-\u2010\u2011¬\u00ad][^\S\n]*$")
 _CODE = re.compile(r"[A-Z]{1,3}-?\d+[a-z]?|\d[\d.,–×%/()-]*(?:[a-zµ]{1,2})?|[A-Za-z]\d?")
 
@@ -71,20 +72,21 @@ def role(line: str) -> tuple[str, bool]:
         return "page", True
     if _LABEL.fullmatch(s):
         return "label", False
-    number = False
-    if m := _FRONT.match(s):
-        s, number = s[m.end() :], True
-    elif m := _BACK.search(s):
-        s, number = s[: m.start()], True
-    s = re.sub(r"\s+", " ", s)
-    s = re.sub(r"(?<=[^\W\d_])0|0(?=[^\W\d_])", "O", s)
-    title = s[:1].isupper() or s[:1] in "*=~•"
-    if title and any(h.fullmatch(s) for h in _HEADS):
-        return "header", number
-    caps = re.findall(r"[^\W\d_]+", s)
-    if len(caps) >= 3 and all(w.isupper() for w in caps) and not re.search(r"\d{2}", s):
-        return "header", number
-    return "body", False
+    if _headed(s):
+        return "header", False
+    m = _FRONT.match(s)
+    rest = s[m.end() :] if m else s[: m.start()] if (m := _BACK.search(s)) else None
+    return ("header", True) if rest is not None and _headed(rest) else ("body", False)
+
+
+def _headed(line: str) -> bool:
+    """Whether a line has the form of a running header, as printed or in capitals, blanks and noughts aside."""
+    s = re.sub(r"\s+", " ", line.strip())
+    s = re.sub(r"(?<=[^\W\d_])0|0(?=[^\W\d_])", lambda m: "o" if s[m.start() - 1 : m.start()].islower() else "O", s)
+    if (s[:1].isupper() or s[:1] in "*=~•") and any(h.fullmatch(s) for h in _HEADS):
+        return True
+    words = re.findall(r"[^\W\d_]+", s)
+    return len(words) >= 3 and all(w.isupper() for w in words) and not re.search(r"\b\d+\b", s)
 
 
 class Decoder:
@@ -153,7 +155,7 @@ class Decoder:
             a, _, b = chunk.partition(BREAK)
             b = b.replace(BREAK, "")
             mark, a = a[-1], a[:-1]
-            tail, head = re.search(r"[^\W\d_]+(?:['’][^\W\d_]+)*$", self._plain(a)), re.match(r"[^\W\d_]+", self._plain(b))
+            tail, head = re.search(r"[^\W\d_]+(?:['’][^\W\d_]+)*$", self._plain(a[-LONGEST:])), re.match(r"[^\W\d_]+", self._plain(b[:LONGEST]))
             if not tail or not head:
                 return a + mark + b, frozenset()
             joined, compound = (tail[0] + head[0]).lower(), f"{tail[0]}-{head[0]}".lower()
@@ -162,7 +164,9 @@ class Decoder:
             else:
                 kinds.add("hyphen_break")
                 chunk = a + b
-        pre, core, post = _CORE.match(chunk).groups()
+        pre = _SIGNS.match(chunk)[0]
+        post = _SIGNS.match(chunk[len(pre) :][::-1])[0][::-1]
+        core = chunk[len(pre) : len(chunk) - len(post)]
         # signs that are misread letters may stand at either end of a word
         while pre and pre[-1] in "€@|$" and core:
             pre, core = pre[:-1], pre[-1] + core
@@ -173,7 +177,7 @@ class Decoder:
         out = []
         for part in re.split(r"([-–/.,;:()\[\]]+)", core):
             low = part.lower()
-            if len(part) < 3 or not any(c.isalpha() for c in part) or _CODE.fullmatch(part):
+            if not 3 <= len(part) <= LONGEST or not any(c.isalpha() for c in part) or _CODE.fullmatch(part):
                 out.append(part)
                 continue
             odd = bool(ODD.search(part)) and bool(re.search(r"[^\W\d_]{2}", part))

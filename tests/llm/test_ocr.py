@@ -38,11 +38,11 @@ def test_misread_characters(read):
 
 
 def test_headers_and_page_numbers(read):
-    heads = ["Bol. Lotic Fungi, vol. 4 (2013)", "Acta L0tic Fungi 9(4): 2017", "* * * FOLIA HIDROMIC. * * *", "Harentano & Praoltquez: Conidia from Itatalde", "Conidial fungi in foam — Praoltquez", "FUNGOS DO RIO DEVRITH", "Fenemsson, 1998 · Notas Rivul. Stud.", "DUNALLIN ET AL. — FUNGI OF THE ORTASSA BASIN", "*  *  *  REV.  NAT.  *  *  *"]
+    heads = ["Bol. Lotic Fungi, vol. 4 (2013)", "Acta L0tic Fungi 9(4): 2017", "* * * FOLIA HIDROMIC. * * *", "Harentano & Praoltquez: Conidia from Itatalde", "Conidial fungi in foam — Praoltquez", "FUNGOS DO RIO DEVRITH", "Fenemsson, 1998 · Notas Rivul. Stud.", "DUNALLIN ET AL. — FUNGI OF THE ORTASSA BASIN", "*  *  *  REV.  NAT.  *  *  *", "Rev.  Torrent.  Nat.  31(3):  2016", "Rev. Fluv. Fung., v0l. 10 (1999)", "FUNGOS  DO  RI0  DEVRITH"]
     for h in heads:
         for place in (f"{h}\nthe share grew", f"the share\n{h}\ngrew", f"the share grew\n{h}"):
             assert read(place) == ("the share grew", ["running_header"]), h
-        for line in (f"12  {h}", f"{h}    112", f"{h} | 112"):
+        for line in (f"12  {h}", f"{h}    112", f"{h} | 112", f"{h}    7"):
             assert read(f"{line}\nthe share grew") == ("the share grew", ["page_number", "running_header"]), line
     for p in ("~282~", "- 180 -", "[ 296 ]", "pág. 52", "  373  ", "— 39 —", "Page 12", "p. 7", "230.", "98"):
         assert read(f"the share\n{p}\ngrew") == ("the share grew", ["page_number"]), p
