@@ -191,8 +191,10 @@ def degree_summary(edges: DataFrame) -> DataFrame:
 def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(nodes, genera, species, morphotypes, relationships), one row."""
     of = lambda label: F.count_if(F.col("label") == label)
-    n = nodes.agg(F.count("*").alias("nodes"), of("Genus").alias("genera"), of("Species").alias("species"), of("ConidialMorphotype").alias("morphotypes"))
-    return n.crossJoin(edges.agg(F.count("*").alias("relationships")))  # one row by one row
+    rows = nodes.select("label", F.lit(True).alias("node")).union(edges.select(F.lit(None).cast("string"), F.lit(False)))
+    return rows.agg(
+        F.count_if("node").alias("nodes"), of("Genus").alias("genera"), of("Species").alias("species"), of("ConidialMorphotype").alias("morphotypes"), F.count_if(~F.col("node")).alias("relationships")
+    )
 
 
 # --- morphotype look-up and negatives ---------------------------------------
@@ -323,3 +325,15 @@ def audit_summary(findings: DataFrame) -> DataFrame:
     """(severity, findings, items) and whether the graph passes: no item of severity ERROR."""
     per = findings.groupBy("severity").agg(F.count("*").alias("findings"), F.sum("n").alias("items"))
     return per.withColumn("passes", F.sum(F.when(F.col("severity") == "ERROR", F.col("items")).otherwise(0)).over(W.partitionBy(F.lit(1))) == 0)
+
+
+def audit_text(findings: list, details: dict[str, list[str]] | None = None, most: int = 5) -> tuple[str, bool]:
+    """(a report as text, whether the graph passes) from collected findings, with up to ``most`` details each."""
+    out = []
+    for r in findings:
+        out.append(f"{r['severity']:8} {r['category']}: {r['message']}")
+        items = (details or {}).get(r["category"], [])
+        out += [f"    {x}" for x in items[:most]]
+        if len(items) > most:
+            out.append(f"    +{len(items) - most} more")
+    return "\n".join(out), not any(r["severity"] == "ERROR" and r["n"] for r in findings)

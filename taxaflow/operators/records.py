@@ -183,3 +183,21 @@ def labels_of_files(files: DataFrame) -> DataFrame:
 def consolidated(records: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The last record of each key by ``order``."""
     return records.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter("_r = 1").drop("_r")
+
+
+#: Entities of the export and their properties (fixed values).
+EXPORT = {
+    "TrainingImage": "id STRING, name STRING, imageType STRING, imageTypeRaw STRING, paper STRING, binomial STRING, genus STRING, species STRING, confidence DOUBLE, captionRaw STRING, savedTo STRING",
+    "Genero": "id STRING, name STRING, origem STRING",
+    "Especie": "id STRING, name STRING, generoNome STRING, origem STRING",
+}
+
+
+def export_tables(prefix: str = "") -> list[str]:
+    """Statements that create the tables of the export where they aren't there."""
+    return [f"CREATE TABLE IF NOT EXISTS {prefix}{name} ({columns}) USING parquet" for name, columns in EXPORT.items()]
+
+
+def export_rows(exported_records: DataFrame, label: str) -> DataFrame:
+    """The records of one entity as columns."""
+    return exported_records.filter(F.col("label") == label).select(F.from_json("properties", EXPORT[label]).alias("p")).select("p.*")

@@ -120,3 +120,30 @@ def oversampled(rows: DataFrame, by: str, least: int = 20) -> DataFrame:
     n = rows.groupBy(by).agg(F.count("*").alias("_n"))
     times = F.greatest(F.ceil(F.lit(least) / F.col("_n")), F.lit(1)).cast("int")
     return rows.join(n, by).withColumn("copy", F.explode(F.sequence(F.lit(1), times))).drop("_n")
+
+
+def embedded(images: DataFrame, load) -> DataFrame:
+    """(image_id, vector) by a model of the caller's, vectors of unit length.
+
+    ``load()`` runs once per Python worker and returns a function from an
+    image to a vector. Images that it can't take (an error, or a vector of
+    zeros) are left out instead of standing in the index as zeros.
+    """
+    from taxaflow.operators.vision import pixels
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = load()
+        for b in batches:
+            ids, vecs = [], []
+            for i, h, w, c, d in zip(b["image_id"], b["height"], b["width"], b["channels"], b["data"], strict=True):
+                try:
+                    v = np.asarray(model(pixels(d, int(h), int(w), int(c))), np.float64)
+                except Exception:  # noqa: BLE001  one bad image must not end the job
+                    continue
+                n = np.linalg.norm(v)
+                if n > 0:
+                    ids.append(int(i))
+                    vecs.append((v / n).astype(np.float32))
+            yield pd.DataFrame({"image_id": pd.Series(ids, dtype="int64"), "vector": pd.Series(vecs, dtype=object)})
+
+    return images.select("image_id", "height", "width", "channels", "data").mapInPandas(run, "image_id long, vector array<float>")

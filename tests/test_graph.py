@@ -112,3 +112,9 @@ def test_empty_graph(g):
     n, e = n.limit(0), e.limit(0)
     assert G.audit(n, e).filter("n > 0").count() == 0 and G.degree_summary(e).first().avg_degree is None
     assert G.taxonomy(n, e).count() == 0 and G.stats(n, e).first().nodes == 0
+
+
+def test_report(g):
+    n, e = g
+    text, passes = G.audit_text(G.audit(n, e).collect(), {"Broken References": [f"x{i}" for i in range(7)]})
+    assert not passes and "+2 more" in text and "x4" in text and "x5" not in text

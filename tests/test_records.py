@@ -98,3 +98,18 @@ def test_oversampling(spark):
     df = spark.createDataFrame([("a",)] * 3 + [("b",)] * 50, "c string")
     got = {r.c: r.n for r in similarity.oversampled(df, "c").groupBy("c").agg(F.count("*").alias("n")).collect()}
     assert got == {"a": 21, "b": 50}
+
+
+def test_export_round_trip(spark, tmp_path):
+    flat = spark.createDataFrame([(1, "i1", "p", "DRAWING", "DRAWING", "s", "c" * 400, "A b", "A", "b", 0.5), (2, "i2", "p", "DRAWING", None, "s", "", None, "A", None, 0.0)], "rec_id long, id string, paper string, image_type string, image_type_raw string, saved_to string, caption_raw string, binomial string, genus string, species string, epithet_confidence double")
+    out = records.exported(flat)
+    rows = {r.id: r for r in records.export_rows(out, "TrainingImage").collect()}
+    assert len(rows["i1"].captionRaw) == 300 and rows["i2"].binomial == "" and rows["i2"].imageTypeRaw == ""
+    assert [r.name for r in records.export_rows(out, "Genero").collect()] == ["A"] and [r.generoNome for r in records.export_rows(out, "Especie").collect()] == ["A"]
+    assert len(records.export_tables("x.")) == 3
+
+
+def test_embedding_leaves_out_what_fails(spark):
+    df = spark.createDataFrame([(1, 1, 2, 1, bytearray([3, 4])), (2, 1, 2, 1, bytearray([0, 0])), (3, 9, 9, 1, bytearray([1]))], "image_id long, height int, width int, channels int, data binary")
+    got = similarity.embedded(df, lambda: lambda a: a.ravel()).collect()
+    assert [(r.image_id, [round(x, 6) for x in r.vector]) for r in got] == [(1, [0.6, 0.8])]
