@@ -56,8 +56,7 @@ def vocabulary(taxa: DataFrame) -> DataFrame:
             )
         ).alias("w")
     ).select("w.word", "w.part").filter("word IS NOT NULL AND word <> ''")
-    n = taxa.agg(F.count("*").alias("n"))
-    return words.groupBy("word", "part").agg(F.count("*").alias("df")).crossJoin(n).select("word", "part", F.log1p(F.col("n") / F.col("df")).alias("idf"))
+    return words.groupBy("word", "part").agg(F.count("*").alias("df")).select("word", "part", F.log1p(F.lit(taxa.count()) / F.col("df")).alias("idf"))
 
 
 def _segment(word: Column, i: int, k: int) -> tuple[Column, Column]:

@@ -139,6 +139,18 @@ class Decoder:
                     best[j] = (c, best[i][1] + [piece])
         return best[n][1] if best[n] and len(best[n][1]) > 1 else None
 
+    def loose(self, text: str) -> str:
+        """``text`` if it holds only letters, signs around them aside, that are no word of the lexicon; else an empty string."""
+        core = text.strip(".,;:()[]\"“”")
+        return text if core.isalpha() and core.lower() not in self.lex else ""
+
+    def merged(self, a: str, b: str) -> str | None:
+        """Two chunks as one word of the lexicon, if a blank stands within it; None if it doesn't."""
+        head, tail = a.lstrip("([\"“"), b.rstrip(".,;:)]\"”")
+        if head.isalpha() and tail.isalpha() and tail.islower() and self.lex.get((head + tail).lower(), 0) >= LEAST:
+            return a + b
+        return None
+
     def read(self, chunk: str) -> tuple[str, frozenset]:
         """(text, kinds of noise) of one chunk, which may hold BREAK where a hyphen closed a line."""
         got = self.known.get(chunk)
@@ -242,9 +254,15 @@ class Decoder:
                 cut.append(" ".join(out))
                 out = []
                 continue
+            last = ""  # the chunk before, if it is letters that are no word
             for c in _CHUNK.findall(piece):
                 fixed, k = self.read(c)
-                out.append(fixed)
+                loose = self.loose(fixed)
+                if (last or loose) and out and (whole := self.merged(out[-1], fixed)):
+                    out[-1], loose = whole, ""
+                else:
+                    out.append(fixed)
+                last = loose
                 kinds |= k
         cut.append(" ".join(out))
         return "\n".join(x for x in cut if x), frozenset(kinds)

@@ -56,7 +56,9 @@ def spanning_forest(edges: DataFrame, tables: SharedTables) -> tuple[DataFrame,
     """(labels, forest): (node, root) of every node on an edge, and the forest's edges (a, b)."""
     e = tables.save(edges.filter("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v"), "a", "b"), "edges0")
     labels = e.select(F.col("u").alias("node")).union(e.select("v")).distinct().select("node", F.col("node").alias("root"))
-    forest, n = [e.select("a", "b").limit(0)], 0
+    empty = edges.sparkSession.createDataFrame([], edges.select("a", "b").schema)
+    labels = tables.save(labels, "labels-1")
+    forest, n = [empty], 0
     while has_rows(e):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"), "a", "b"))
         # in a contracted graph, the other end of the smallest edge comes with it
@@ -83,6 +85,8 @@ def spanning_forest(edges: DataFrame, tables: SharedTables) -> tuple[DataFrame,
         )
         moved = e.join(star, "u").select(F.col("r").alias("u2"), "v", "a", "b").join(star.withColumnRenamed("u", "v"), "v").select(F.col("u2").alias("u"), F.col("r").alias("v"), "a", "b")
         e = tables.save(_smallest(moved.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "a", "b"), "u", "v"), f"edges{n + 1}")
+        for done in (*(f"hop{n}_{i}" for i in range(k)), *(f"nxt{n}_{i}" for i in range(k)), f"edges{n}", f"labels{n - 1}"):
+            tables.drop(done)
         n += 1
     return labels, reduce(DataFrame.union, forest)
 

@@ -26,6 +26,12 @@ def test_hyphens(read):
     assert read("near FX-\n5972 grew") == ("near FX-5972 grew", [])
 
 
+def test_words_divided_or_run_together(read):
+    assert read("the conidio phores grew") == ("the conidiophores grew", [])
+    assert read("the conidiophoresgrew, over night") == ("the conidiophores grew, overnight", [])
+    assert read("the rain grew") == ("the rain grew", [])
+
+
 def test_hyphen_across_page_parts(read):
     assert read("the conidio-\n— 39 —\nphores grew") == ("the conidiophores grew", ["hyphen_break", "page_number"])
     assert read("the conidio-\nC–D\nphores grew") == ("the conidiophores grew", ["hyphen_break"])
