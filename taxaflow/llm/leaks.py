@@ -5,7 +5,7 @@ block's largest impact per term. Every passage of every document (48 words, each
 24) queries it: blocks whose bound stays below the block's threshold are
 skipped, in the others all items are scored, and all at or above their threshold
 are retrieved. The threshold of an item is the least score that a passage can
-have which holds 20 of its words in a row with two of them altered, so none is
+have which holds 20 of its words in a row with three of them altered, so none is
 lost. Retrieved pairs are verified by aligning the words.
 
 Items are a stated query set. They are indexed in groups of ``GROUP`` at most,
@@ -29,7 +29,8 @@ from taxaflow.runtime import spread
 
 GROUP, BLOCK = 4096, 128
 PASSAGE, STRIDE = 48, 24
-RUN, ALTERED = 20, 10
+#: At least RUN words in a row, at most one in ALTERED altered. Of any such stretch some RUN words have at most LOST altered.
+RUN, ALTERED, LOST = 20, 10, 3
 K1, B = 1.2, 0.75
 
 _TAGS = re.compile(r"</?[A-Za-z!][^<>]{0,200}>|&[A-Za-z]{2,8};|&#\d{1,6};")
@@ -76,7 +77,7 @@ class Index:
                     imp[row[self.terms[w]], k] = idf[w] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ws) / mean))
                 for i in range(len(ws) - RUN + 1):
                     own = np.sort([imp[row[self.terms[w]], k] for w in ws[i : i + RUN]])
-                    least[k] = min(least[k], own[: RUN - RUN // ALTERED].sum())
+                    least[k] = min(least[k], own[: RUN - LOST].sum())
             rows = np.zeros(len(self.terms) + 1, dtype=np.int64)
             rows[vocab] = np.arange(1, len(vocab) + 1)
             self.blocks.append((at, rows, imp, imp.max(1), least * np.float32(1 - 1e-4)))
@@ -84,7 +85,7 @@ class Index:
     def retrieve(self, ws: list[str]) -> dict[int, tuple[int, int]]:
         """Of each item with a passage at or above its threshold, the span of words of such passages."""
         found: dict[int, tuple[int, int]] = {}
-        if len(ws) < RUN - RUN // ALTERED:
+        if len(ws) < RUN - LOST:
             return found
         other = len(self.terms)
         ids = np.fromiter((self.terms.get(w, other) for w in ws), dtype=np.int64, count=len(ws))
@@ -101,19 +102,29 @@ class Index:
                     found[at + int(k)] = (min(lo, int(starts[p])), max(hi, int(ends[p])))
         return found
 
+    def dense(self, k: int, two: set[tuple[str, str]]) -> bool:
+        """Whether some RUN words of the item keep as many of their pairs as LOST altered words must leave."""
+        ws = self.items[k][1]
+        n = 0
+        kept = [p in two for p in zip(ws, ws[1:], strict=False)]
+        for i, hit in enumerate(kept):
+            n += hit - (i >= RUN - 1 and kept[i - RUN + 1])
+            if n >= RUN - 1 - 2 * LOST:
+                return True
+        return False
+
     def leaks(self, text: str | None) -> list[int]:
         """Ids of the items that the text holds."""
         ws = words(text)
         found = self.retrieve(ws)
         if not found:
             return []
-        six: dict[tuple, list[int]] | None = None
+        six = set(zip(*(ws[i:] for i in range(6)), strict=False))
+        two = set(zip(ws, ws[1:], strict=False))
         out = []
         for k, (lo, hi) in sorted(found.items()):
-            if six is None:
-                six = set(zip(*(ws[i:] for i in range(6)), strict=False))
             # of 18 words left of 20 after two are altered, six stand together
-            if self.runs[k].isdisjoint(six):
+            if self.runs[k].isdisjoint(six) or not self.dense(k, two):
                 continue
             if holds(self.items[k][1], ws[max(lo - PASSAGE, 0) : hi + PASSAGE]):
                 out.append(self.items[k][0])
