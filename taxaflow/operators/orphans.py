@@ -31,7 +31,7 @@ from pyspark.sql.window import Window as W
 
 from taxaflow.runtime import SharedTables, has_rows
 
-FOREVER = "9999-12-31 00:00:00"
+FOREVER, NEVER = "9999-12-31 00:00:00", "0001-01-01 00:00:00"
 REFS = "edge_id long, endpoint string, key string, t timestamp_ntz"
 KEYS = "key string, first_loaded timestamp_ntz, alive_until timestamp_ntz"
 COUNTS = "key string, endpoint string, n long"
@@ -89,23 +89,21 @@ class OrphanState:
 
     def _probe(self, refs: DataFrame, parents: DataFrame) -> DataFrame:
         """Adds ``until``: the largest end among the versions loaded up to the reference, null if there are none."""
+        stamp = lambda v: F.lit(v).cast("timestamp_ntz")
+        none = F.lit(None)
         known = self.keys.join(refs.select("key").distinct(), "key", "left_semi")
-        blank = F.lit(None)
-        rows = refs.select("key", "t", F.lit(1).alias("is_ref"), blank.cast("timestamp_ntz").alias("until"), "edge_id", "endpoint").union(
-            parents.select("key", F.col("loaded_at").alias("t"), F.lit(0), F.coalesce("deleted_at", F.lit(FOREVER).cast("timestamp_ntz")), blank.cast("long"), blank.cast("string"))
+        rows = (
+            refs.select("key", F.coalesce("t", stamp(FOREVER)).alias("t"), F.lit(1).alias("is_ref"), none.cast("timestamp_ntz").alias("until"), "edge_id", "endpoint", F.col("t").alias("stated"))
+            .union(parents.select("key", "loaded_at", F.lit(0), F.coalesce("deleted_at", stamp(FOREVER)), none.cast("long"), none.cast("string"), none.cast("timestamp_ntz")))
+            # what the index knows stands before all days of the batch
+            .union(known.select("key", stamp(NEVER), F.lit(0), "alive_until", none.cast("long"), none.cast("string"), none.cast("timestamp_ntz")))
         )
         rows = rows.withColumn("day", F.col("t").cast("date"))
         days = rows.groupBy("key", "day").agg(F.max("until").alias("of_day"))
-        before = days.select(
-            "key", "day", F.max("of_day").over(W.partitionBy("key").orderBy(F.col("day").asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)).alias("before")
-        )
+        before = days.select("key", "day", F.max("of_day").over(W.partitionBy("key").orderBy("day").rowsBetween(W.unboundedPreceding, -1)).alias("before"))
         running = F.max("until").over(W.partitionBy("key", "day").orderBy("t", "is_ref").rowsBetween(W.unboundedPreceding, 0))
         within = rows.withColumn("running", running).filter("is_ref = 1")
-        return (
-            within.join(before.withColumnRenamed("key", "k").withColumnRenamed("day", "d"), F.col("key").eqNullSafe(F.col("k")) & F.col("day").eqNullSafe(F.col("d")))
-            .join(known.select("key", "alive_until"), "key", "left")
-            .select("edge_id", "endpoint", "key", "t", F.greatest("running", "before", "alive_until").alias("until"))
-        )
+        return within.join(before, ["key", "day"]).select("edge_id", "endpoint", "key", F.col("stated").alias("t"), F.greatest("running", "before").alias("until"))
 
     def step(self, refs: DataFrame, parents: DataFrame, until: datetime) -> None:
         """Takes the references and versions that arrived since the last batch, up to ``until``."""
