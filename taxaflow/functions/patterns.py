@@ -77,6 +77,18 @@ BUILT_IN_GENERA = tuple(
     Trisulcosporium Vargamyces Camposporium Dactylaria Helicomyces Heliscus Pleurophragmium Subulispora Taeniolella
     Trichothecium Xylomyces Helicodendron Helicosporium Helicoon Helicubis Neta Aquaphila Nawawia Pyricularia""".split()
 )
+#: Genera of the vocabulary for legends (fixed values).
+LEGEND_GENERA = tuple(
+    """Actinospora Alatospora Anguillospora Articulospora Campylospora Casaresia Centrospora Ceratopsis Clavariopsis
+    Clavatospora Condylospora Culicidospora Cylindrocarpon Dactylella Dendrospora Descalsia Diplocladiella Dwayaangam
+    Filosporella Flabellocladia Flagellospora Fontanospora Geniculospora Goniopila Gyoerffyella Heliscella Heliscina Heliscus
+    Helicoon Helicomyces Helicodendron Helicosporium Helicomina Helicoma Hydrometrospora Ingoldiella Isthmolongispora
+    Isthmotricladia Jaculispora Lateriramulosa Lemonniera Leptosporomyces Lunulospora Magdalaenaea Margaritispora
+    Mycocentrospora Pleuropedium Pseudaegerita Pyramidospora Retiarius Scorpiosporium Sigmoidea Speiropsis Stenocladiella
+    Taeniospora Tetrachaetum Tetracladium Tricellula Tricladium Trinacrium Tripospermum Triposporina Triscelophorus Tumularia
+    Varicosporium Volucrispora Xylomyces Brachiosphaera Camposporidium Camposporium Cancellidium Dicranidion Hydrocina
+    Mirandina Pestalotia Piricauda Riessia Spegazzinia Trichocladium Wiesneriomyces""".split()
+)
 #: Confidence of each way to find a name (fixed values), and the factor for a genus outside the vocabulary.
 CONFIDENCE = {
     "legend_strict": 0.95,

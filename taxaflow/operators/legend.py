@@ -40,7 +40,7 @@ def _add(old: Column, new: Column) -> Column:
     )
 
 
-def legends(pages: DataFrame, vocabulary: Iterable[str] | None = P.BUILT_IN_GENERA) -> DataFrame:
+def legends(pages: DataFrame, vocabulary: Iterable[str] | None = P.LEGEND_GENERA) -> DataFrame:
     """``pages`` (pdf, page, text) with ``legend``: entries (number, genus, epithet, strategy, confidence).
 
     1 strict entries; 2 loose ones, and 3 pairs in a figure's caption, while
@@ -82,7 +82,7 @@ def _abbreviated(text: Column, hits: Column, vocabulary: Iterable[str] | None) -
     return F.when(F.size(hits) > 0, _add(hits, let(_modal(hits), entries))).otherwise(hits)
 
 
-def page_fallback(text: Column, vocabulary: Iterable[str] | None = P.BUILT_IN_GENERA) -> Column:
+def page_fallback(text: Column, vocabulary: Iterable[str] | None = P.LEGEND_GENERA) -> Column:
     """The first binomial of a known genus on a page; null if there is none."""
     g = lambda i: F.regexp_extract_all(text, F.lit(P.RESOLVED_BINOMIAL), F.lit(i))
     z = F.filter(F.arrays_zip(g(1).alias("g"), g(2).alias("e")), lambda x: (F.length(x["e"]) >= 5) & P.valid_binomial(x["g"], x["e"], vocabulary))
@@ -98,7 +98,7 @@ def nearest_blocks(crops: DataFrame, blocks: DataFrame, page: list[str], k: int
     return d.withColumn("rank", F.row_number().over(order)).filter((F.col("rank") <= k) & (F.col("dist") <= radius)).select(*page, "crop_id", "block_no", "text", "dist", "rank")
 
 
-def resolve(crops: DataFrame, blocks: DataFrame, pages: DataFrame, vocabulary: Iterable[str] | None = P.BUILT_IN_GENERA) -> DataFrame:
+def resolve(crops: DataFrame, blocks: DataFrame, pages: DataFrame, vocabulary: Iterable[str] | None = P.LEGEND_GENERA) -> DataFrame:
     """(pdf, page, crop_id, binomial, genus, epithet, strategy, confidence, candidates) of each crop.
 
     Takes crops (pdf, page, crop_id, cx, cy), blocks (pdf, page, block_no, x0,

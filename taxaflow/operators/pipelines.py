@@ -18,7 +18,7 @@ from taxaflow.operators import captions, graph, legend, records, similarity, vis
 SCHEMA_VERSION, PIPELINE_VERSION = "figures.2", "taxaflow/0.1"
 
 
-def page_records(crops: DataFrame, blocks: DataFrame, pages: DataFrame, kinds: DataFrame, vocabulary: Iterable[str] | None = P.BUILT_IN_GENERA) -> DataFrame:
+def page_records(crops: DataFrame, blocks: DataFrame, pages: DataFrame, kinds: DataFrame, vocabulary: Iterable[str] | None = P.LEGEND_GENERA) -> DataFrame:
     """Records of the newer kind: one per crop, with its type, the name resolved from its page, and an id from its content.
 
     Takes crops (pdf, page, crop_id, fig_index, cx, cy, content_hash), blocks
