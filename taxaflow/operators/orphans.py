@@ -156,11 +156,15 @@ class OrphanState:
 def track(refs: DataFrame, parents: DataFrame, months: int = 6, snapshots: bool = False) -> OrphanState:
     """Runs all of ``refs`` and ``parents`` through the state, in batches of ``months`` months."""
     state = OrphanState(refs.sparkSession, snapshots)
-    lo = None
-    for hi in periods(refs, parents, months):
-        span = lambda c: (F.col(c) < F.lit(hi).cast("timestamp_ntz")) & (F.lit(True) if lo is None else F.col(c) >= F.lit(lo).cast("timestamp_ntz"))  # noqa: B023, E731
-        state.step(refs.filter(span("t")), parents.filter(span("loaded_at")), hi)
-        lo = hi
+    ends = periods(refs, parents, months)
+    if ends:
+        # each batch is then read alone, instead of the whole table for every batch
+        first = ends[0].year * 12 + ends[0].month - 1 - months
+        number = lambda c: F.floor((F.year(c) * 12 + F.month(c) - 1 - first) / months).cast("int")
+        r = state.tables.save(refs.filter("t IS NOT NULL").withColumn("batch", number(F.col("t"))), "refs", "batch")
+        p = state.tables.save(parents.filter("loaded_at IS NOT NULL").withColumn("batch", number(F.col("loaded_at"))), "parents", "batch")
+        for i, until in enumerate(ends):
+            state.step(r.filter(F.col("batch") == i).drop("batch"), p.filter(F.col("batch") == i).drop("batch"), until)
     undated_refs, undated = refs.filter("t IS NULL"), parents.filter("loaded_at IS NULL")
     if has_rows(undated_refs):
         state.step(undated_refs, parents.limit(0), datetime(9998, 12, 31))

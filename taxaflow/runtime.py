@@ -58,9 +58,11 @@ class SharedTables:
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         atexit.register(self.drop_all)
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """Writes ``df`` and reads it again; ``by`` names a column of folders, so that its values can be read alone."""
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        w = df.write.mode("overwrite").option("compression", "zstd")
+        (w.partitionBy(by) if by else w).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def _delete(self, path: str) -> None:
