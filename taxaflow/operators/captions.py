@@ -55,18 +55,36 @@ def epithet(text: Column, vocabulary: Iterable[str] | None = P.BUILT_IN_GENERA)
 def epithet_of_pages(pages: DataFrame, key: str, vocabulary: Iterable[str] | None = P.BUILT_IN_GENERA) -> DataFrame:
     """(key, epithet): of the first page in order with a binomial, else of all pages' text together.
 
-    Takes (key, page, text). A document's pages are bounded by what can be a
-    document; they are joined only where no single page has a binomial.
+    Takes (key, page, text), pages numbered in order. What all pages together
+    would give is put together from per-page results, so no document is ever
+    gathered: a page is read with the head of the next one, for names and
+    section titles that a page break divides; a blocked section anywhere blocks
+    the whole, else the first such name counts, else the first genus.
     """
-    e = pages.withColumn("e", epithet(F.col("text"), vocabulary))
-    first = e.groupBy(key).agg(F.min_by(F.when(F.col("e.binomial").isNotNull(), F.col("e")), F.when(F.col("e.binomial").isNotNull(), F.col("page"))).alias("first"))
-    whole = (
-        e.join(first.filter("first IS NULL").select(key), key, "left_semi")
-        .groupBy(key)
-        .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"]), "\n").alias("text"))
-        .select(key, epithet(F.col("text"), vocabulary).alias("whole"))
+    head = pages.select(key, (F.col("page") - 1).alias("page"), F.substring("text", 1, 300).alias("_head")).groupBy(key, "page").agg(F.min("_head").alias("_head"))
+    e = pages.select(key, "page", F.coalesce("text", F.lit("")).alias("text")).join(head, [key, "page"], "left")
+    full = F.concat_ws("\n", "text", "_head")
+    e = e.select(key, "page", F.substring("text", 1, 180).alias("snippet"), epithet(F.col("text"), vocabulary).alias("own"), epithet(full, vocabulary).alias("wide"), P.blocked(full).alias("blocked"))
+    first = lambda c, when: F.min_by(F.when(when, F.col(c)), F.when(when, F.col("page")))
+    g = e.groupBy(key).agg(
+        first("own", F.col("own.binomial").isNotNull()).alias("own"),
+        F.max("blocked").alias("blocked"),
+        first("wide", F.col("wide.binomial").isNotNull()).alias("wide"),
+        first("own", F.col("own.genus").isNotNull()).alias("genus"),
+        F.max((F.col("own.rule") != "empty-caption").cast("int")).alias("any"),
+        F.min_by("snippet", "page").alias("snippet"),
+    )
+    none = lambda rule, snippet: _struct(None, None, None, 0.0, True, rule, None, snippet)
+    return g.select(
+        key,
+        F.when(F.col("own").isNotNull(), F.col("own"))
+        .when(F.col("any") == 0, none("empty-caption", None))
+        .when(F.col("blocked"), none("blocked-section", F.col("snippet")))
+        .when(F.col("wide").isNotNull(), F.col("wide"))
+        .when(F.col("genus").isNotNull(), F.col("genus"))
+        .otherwise(none("no-match", F.col("snippet")))
+        .alias("epithet"),
     )
-    return first.join(whole, key, "left").select(key, F.coalesce("first", "whole").alias("epithet"))
 
 
 def epithet_or_page(caption: Column, page: Column, vocabulary: Iterable[str] | None = None) -> Column:

@@ -50,12 +50,13 @@ def legends(pages: DataFrame, vocabulary: Iterable[str] | None = P.LEGEND_GENERA
     """
     none = F.array().cast(_HIT)
     text = F.coalesce("text", F.lit(""))
-    by_pdf = W.partitionBy("pdf").orderBy("page")
-    p = pages.withColumn("_before", F.coalesce(F.lag("text").over(by_pdf), F.lit(""))).withColumn("_after", F.coalesce(F.lead("text").over(by_pdf), F.lit("")))
+    # the pages before and after by number: joins on (pdf, page), as a window would take a whole document into one task
+    beside = lambda step, name: pages.select("pdf", (F.col("page") + step).alias("page"), "text").groupBy("pdf", "page").agg(F.coalesce(F.min("text"), F.lit("")).alias(name))
+    p = pages.join(beside(1, "_before"), ["pdf", "page"], "left").join(beside(-1, "_after"), ["pdf", "page"], "left")
     strict = _hits(text, P.LEGEND_STRICT, "legend_strict", vocabulary)
     loose = _hits(text, P.LEGEND_LOOSE, "legend_loose", vocabulary)
     paired = _hits(F.regexp_extract(text, P.FIGURE_CAPTION, 1), P.CAPTION_PAIRS, "caption_pairs", vocabulary)
-    near = F.concat(_hits(F.col("_before"), P.LEGEND_STRICT, "adjacent_pages", vocabulary), _hits(F.col("_after"), P.LEGEND_STRICT, "adjacent_pages", vocabulary))
+    near = F.concat(_hits(F.coalesce("_before", F.lit("")), P.LEGEND_STRICT, "adjacent_pages", vocabulary), _hits(F.coalesce("_after", F.lit("")), P.LEGEND_STRICT, "adjacent_pages", vocabulary))
     grow = lambda more: lambda acc: F.when(F.size(acc) < 2, _add(acc, more)).otherwise(acc)
     stages = let(_add(none, strict), lambda a: let(grow(loose)(a), lambda b: let(grow(paired)(b), lambda c: let(_abbreviated(text, c, vocabulary), lambda e: F.when(F.size(e) == 0, _add(none, near)).otherwise(e)))))
     return p.withColumn("legend", stages).drop("_before", "_after")

@@ -48,9 +48,9 @@ def test_binomials_of_drawings(spark):
 
 
 def test_pages_and_fallbacks(spark):
-    df = spark.createDataFrame([("a", 1, "nothing"), ("a", 2, "Alatospora acuminata"), ("a", 3, "Tetracladium marchalianum"), ("b", 1, "on Lemonniera"), ("b", 2, None), ("c", 1, None)], "k string, page int, text string")
+    df = spark.createDataFrame([("s", 1, "of Tetracladium"), ("s", 2, "marchalianum here"), ("x", 1, "Lemonniera"), ("x", 2, "Material"), ("x", 3, "examined: y"), ("a", 1, "nothing"), ("a", 2, "Alatospora acuminata"), ("a", 3, "Tetracladium marchalianum"), ("b", 1, "on Lemonniera"), ("b", 2, None), ("c", 1, None)], "k string, page int, text string")
     got = {r.k: (r.epithet.binomial, r.epithet.genus) for r in C.epithet_of_pages(df, "k").collect()}
-    assert got == {"a": ("Alatospora acuminata", "Alatospora"), "b": (None, "Lemonniera"), "c": (None, None)}
+    assert got == {"s": ("Tetracladium marchalianum", "Tetracladium"), "x": (None, None), "a": ("Alatospora acuminata", "Alatospora"), "b": (None, "Lemonniera"), "c": (None, None)}
     r = one(spark, [("no name", "Alatospora acuminata"), ("Lemonniera", "Alatospora acuminata")], "c string, p string", C.epithet_or_page(F.col("c"), F.col("p"), P.BUILT_IN_GENERA)["genus"])
     assert [x[0] for x in r] == ["Alatospora", "Lemonniera"]
 
