@@ -122,6 +122,10 @@ SQL = {
     "p4_found": _P4,
     "p6_found": _LINKS + "SELECT node_id, root_id, depth FROM n",
     "p6_paths": _LINKS + "SELECT node_id, root_id, depth, path FROM n",
+    "p6_cycles": _LINKS
+    + ", x AS (SELECT node_id, parent_id FROM l WHERE node_id NOT IN (SELECT node_id FROM t)),"
+    + " w AS (SELECT node_id AS s, parent_id AS x FROM x UNION SELECT w.s, x.parent_id FROM w JOIN x ON x.node_id = w.x)"
+    + " SELECT min(x) AS cycle_id, s AS node_id FROM w GROUP BY s HAVING bool_or(x = s)",
     "p6_descendants": _LINKS
     + ", a AS (SELECT node_id, parent_id AS ancestor_id, 1 AS distance FROM l WHERE node_id IN (SELECT node_id FROM t)"
     + " UNION ALL SELECT a.node_id, l.parent_id, a.distance + 1 FROM a JOIN l ON l.node_id = a.ancestor_id)"

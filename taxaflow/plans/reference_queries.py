@@ -413,7 +413,17 @@ def n3_names(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query()
+_SLUG = "substring(lower(regexp_replace(regexp_replace({}, '[^a-zA-Z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')), 1, 80)"
+
+
+@query(
+    "SELECT rec_id, " + _SLUG.format("coalesce(paper, 'none')") + """ || printf('__p%03d__fig%02d__', coalesce(page, 0), coalesce(fig_index, 0)) || substring(sha1(coalesce(caption_raw, '')), 1, 6) || '__'
+ || CASE WHEN trim(coalesce(epithet.genus, '')) = '' THEN 'UNKNOWN_UNKNOWN' ELSE """
+    + _SLUG.format("trim(epithet.genus) || '_' || coalesce(nullif(trim(epithet.species), ''), 'sp')")
+    + """ END AS name,
+ id || '__' || CASE WHEN coalesce(epithet.confidence, 0.0) < 0.35 THEN 'UNCERTAIN_' ELSE '' END || substring(regexp_replace(coalesce(epithet.genus, 'UNKNOWN'), '[^A-Za-z0-9_.\\-]+', '_', 'g'), 1, 80) || '_'
+ || substring(regexp_replace(coalesce(epithet.species, 'sp'), '[^A-Za-z0-9_.\\-]+', '_', 'g'), 1, 80) || printf('__conf%02d', round_even(coalesce(epithet.confidence, 0.0) * 100, 0)::INT) || '.png' AS file FROM training_index"""
+)
 def n7_record_names(spark: SparkSession, d: str) -> DataFrame:
     t = _read(spark, d, "training_index")
     base = naming.record_id(F.coalesce("paper", F.lit("none")), F.coalesce("page", F.lit(0)), F.coalesce("fig_index", F.lit(0)), naming.short_hash(F.coalesce("caption_raw", F.lit(""))))
@@ -482,7 +492,10 @@ def e7_first_binomial(spark: SparkSession, d: str) -> DataFrame:
     return _read(spark, d, "training_index").select("rec_id", P.first_binomial(F.coalesce("caption_raw", F.lit(""))).alias("name"))
 
 
-@query()
+_SPACE, _LETTER = "[\\s\\x{0B}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]*", "([\\p{L}\\p{M}\\p{Nd}\\p{Nl}\\p{Pc}])"
+
+
+@query(f"SELECT rec_id, regexp_replace(coalesce(caption_raw, ''), '{_LETTER}-{_SPACE}\\n{_SPACE}{_LETTER}', '\\1\\2', 'g') AS text FROM training_index")
 def n9_dehyphenated(spark: SparkSession, d: str) -> DataFrame:
     return _read(spark, d, "training_index").select("rec_id", P.dehyphenated(F.coalesce("caption_raw", F.lit(""))).alias("text"))
 
@@ -608,7 +621,14 @@ def d4_confusion(spark: SparkSession, d: str) -> DataFrame:
     return similarity.confusion(best.join(truth, "query_id"), "truth", "guess")
 
 
-@query()
+@query(
+    _KNN
+    + """, b AS (SELECT e.label AS truth, v.label AS guess FROM v JOIN embeddings e ON e.vec_id = v.query_id WHERE place = 1),
+l AS (SELECT truth AS label FROM b UNION SELECT guess FROM b),
+u AS (SELECT label, (SELECT count(*) FROM b WHERE truth = label) AS support, (SELECT count(*) FROM b WHERE guess = label) AS guessed, (SELECT count(*) FROM b WHERE truth = label AND guess = label) AS hit FROM l),
+p AS (SELECT label, support, CASE WHEN guessed > 0 THEN hit / guessed ELSE 0.0 END AS precision, CASE WHEN support > 0 THEN hit / support ELSE 0.0 END AS recall FROM u)
+SELECT label, precision, recall, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1, support FROM p"""
+)
 def d4_scores(spark: SparkSession, d: str) -> DataFrame:
     found, labels = _neighbours(spark, d)
     best = similarity.votes(found, labels, ["label"], 1).select("query_id", F.col("label").alias("guess"))
