@@ -370,11 +370,14 @@ _RELABEL = (
 )
 
 
-@query(
+_RELABEL = (
     _RELABEL.replace("<noise>", " OR ".join(f"contains(lower(coalesce(caption_raw, '')), '{k}')" for k in P.NOISE_KEYWORDS))
     .replace("<tree>", P.TREE_CAPTION.replace("(?iU)", "(?i)"))
     .replace("<micro>", P.MICROSCOPY_CAPTION.replace("(?iU)", "(?i)").replace("ó", "_"))
 )
+
+
+@query(_RELABEL)
 def f24_relabelled(spark: SparkSession, d: str) -> DataFrame:
     t = _read(spark, d, "training_index")
     r = records.relabelled(t.select("rec_id", "image_type", "caption_raw", "saved_to"))
@@ -741,7 +744,10 @@ def e11_caption_records(spark: SparkSession, d: str) -> DataFrame:
     return pipelines.caption_records(i.drop("classifier", "image_type"), _blocks(spark, d).withColumnRenamed("paper", "pdf"), _pages(spark, d), i.select("image_id", "image_type"))
 
 
-@query()
+@query(
+    "SELECT t.rec_id, coalesce(n.new_type, t.image_type) AS image_type, coalesce(n.new_raw, t.image_type_raw) AS image_type_raw, t.caption_raw, coalesce(n.new_path, t.saved_to) AS saved_to"
+    f" FROM training_index t LEFT JOIN ({_RELABEL}) n USING (rec_id)"
+)
 def e13_relabel(spark: SparkSession, d: str) -> DataFrame:
     t = _read(spark, d, "training_index").select("rec_id", "image_type", "image_type_raw", "caption_raw", "saved_to")
     return pipelines.relabel(t)[0]
