@@ -24,7 +24,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
@@ -32,6 +32,7 @@ from pyspark.sql.window import Window as W
 from taxaflow.runtime import SharedTables, has_rows
 
 FOREVER, NEVER = "9999-12-31 00:00:00", "0001-01-01 00:00:00"
+MOST = 64
 REFS = "edge_id long, endpoint string, key string, t timestamp_ntz"
 KEYS = "key string, first_loaded timestamp_ntz, alive_until timestamp_ntz"
 COUNTS = "key string, endpoint string, n long"
@@ -62,18 +63,31 @@ def versions(*tables: DataFrame) -> DataFrame:
     return out
 
 
-def periods(refs: DataFrame, parents: DataFrame, months: int) -> list[datetime]:
-    """Ends of the batches: each ``months`` months from the first to the last arrival."""
-    lo, hi = (
-        refs.select("t").union(parents.select("loaded_at")).agg(F.min("t"), F.max("t")).collect()[0]
-    )
+def _month(c: Column) -> Column:
+    return F.year(c) * 12 + F.month(c) - 1
+
+
+def _start(month: int) -> datetime:
+    return datetime(month // 12, month % 12 + 1, 1) if month < 120_000 else datetime(9999, 12, 31)
+
+
+def periods(refs: DataFrame, parents: DataFrame, months: int) -> tuple[int, int, list[int]]:
+    """(first month, months of a batch, numbers of the batches) from the first to the last arrival.
+
+    If that makes more than MOST batches, as one stray date can, those without
+    arrivals are left out, and batches are made longer while there are still too
+    many. Which batches there are doesn't change the orphans.
+    """
+    at = refs.select(_month(F.col("t")).alias("m")).union(parents.select(_month(F.col("loaded_at")))).filter("m IS NOT NULL")
+    lo, hi = at.agg(F.min("m"), F.max("m")).collect()[0]
     if lo is None:
-        return []
-    m, out = lo.year * 12 + lo.month - 1, []
-    while not out or out[-1] <= hi:
-        m += months
-        out.append(datetime(m // 12, m % 12 + 1, 1))
-    return out
+        return 0, months, []
+    numbers = list(range((hi - lo) // months + 1))
+    while len(numbers) > MOST:
+        numbers = sorted(r[0] for r in at.select(F.floor((F.col("m") - lo) / months).cast("int")).distinct().collect())
+        if len(numbers) > MOST:
+            months *= 2
+    return lo, months, numbers
 
 
 class OrphanState:
@@ -156,15 +170,14 @@ class OrphanState:
 def track(refs: DataFrame, parents: DataFrame, months: int = 6, snapshots: bool = False) -> OrphanState:
     """Runs all of ``refs`` and ``parents`` through the state, in batches of ``months`` months."""
     state = OrphanState(refs.sparkSession, snapshots)
-    ends = periods(refs, parents, months)
-    if ends:
+    first, months, numbers = periods(refs, parents, months)
+    if numbers:
         # each batch is then read alone, instead of the whole table for every batch
-        first = ends[0].year * 12 + ends[0].month - 1 - months
-        number = lambda c: F.floor((F.year(c) * 12 + F.month(c) - 1 - first) / months).cast("int")
-        r = state.tables.save(refs.filter("t IS NOT NULL").withColumn("batch", number(F.col("t"))), "refs", "batch")
-        p = state.tables.save(parents.filter("loaded_at IS NOT NULL").withColumn("batch", number(F.col("loaded_at"))), "parents", "batch")
-        for i, until in enumerate(ends):
-            state.step(r.filter(F.col("batch") == i).drop("batch"), p.filter(F.col("batch") == i).drop("batch"), until)
+        number = lambda c: F.floor((_month(F.col(c)) - first) / months).cast("int")
+        r = state.tables.save(refs.filter("t IS NOT NULL").withColumn("batch", number("t")), "refs", "batch")
+        p = state.tables.save(parents.filter("loaded_at IS NOT NULL").withColumn("batch", number("loaded_at")), "parents", "batch")
+        for i in numbers:
+            state.step(r.filter(F.col("batch") == i).drop("batch"), p.filter(F.col("batch") == i).drop("batch"), _start(first + (i + 1) * months))
     undated_refs, undated = refs.filter("t IS NULL"), parents.filter("loaded_at IS NULL")
     if has_rows(undated_refs):
         state.step(undated_refs, parents.limit(0), datetime(9998, 12, 31))

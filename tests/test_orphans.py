@@ -81,3 +81,9 @@ def test_empty_sides(spark):
     assert kinds(run(spark, [], [("a", day(1), None, "")])) == []
     assert kinds(run(spark, [(1, "a", "b", day(1), "", "")], [])) == [(1, "end", "missing"), (1, "start", "missing")]
     assert kinds(run(spark, [(1, "a", "b", None, "", "")], [("a", day(1), None, ""), ("b", day(1), day(2), "")])) == [(1, "end", "deleted")]
+
+
+def test_stray_dates(spark):
+    nodes = [("a", datetime(1, 1, 1), None, ""), ("b", datetime(9999, 5, 1), None, ""), ("c", day(3), datetime(9999, 1, 1), "")]
+    edges = [(1, "a", "b", day(2), "", ""), (2, "c", "c", day(4), "", ""), (3, "b", "x", datetime(9999, 6, 1), "", ""), (4, "c", "a", datetime(9999, 6, 1), "", "")]
+    assert kinds(run(spark, edges, nodes, months=1)) == brute(edges, nodes)
