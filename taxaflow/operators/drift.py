@@ -17,12 +17,15 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from taxaflow.runtime import SharedTables
@@ -291,16 +294,238 @@ def changes(raw: DataFrame) -> DataFrame:
 # --- the one consistent table ------------------------------------------------
 
 
+#: A schema has at most so many fields; beyond that, keys are data and the schema is refused, not cut.
+MOST_FIELDS = 20_000
+LONG, DOUBLE, BOOLEAN = 1, 2, 4
+TRUE, FALSE = {"true", "t", "yes", "y", "1"}, {"false", "f", "no", "n", "0"}
+_NUMBER = re.compile(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?", re.ASCII)
+
+
+def _unmarked(path: str) -> str:
+    """The path without marks of arrays: a field keeps its names whether it stands alone or in an array."""
+    return path.replace("[]", "")
+
+
+def _renamed(v: dict, path: str, names: dict[str, str]) -> Iterator[tuple[str, str, object]]:
+    """(first name, path as it stands, value) of each field; a first name that the object has anew is not taken from it."""
+    for k, x in v.items():
+        p = f"{path}.{k}" if path else k
+        name = names.get(p, k)
+        yield (k if name != k and name in v else name), p, x
+
+
 def _rewritten(v, path: str, names: dict[str, str]):
     """The value with its fields named as in the first file of the series that had them."""
     if isinstance(v, dict):
-        out = {}
-        for k, x in v.items():
-            p = f"{path}.{k}" if path else k
-            out[names.get(p, k)] = _rewritten(x, p, names)
-        return out
+        return {name: _rewritten(x, p, names) for name, p, x in _renamed(v, path, names)}
     if isinstance(v, list):
-        return [_rewritten(x, f"{path}[]", names) for x in v]
+        return [_rewritten(x, path, names) for x in v]
+    return v
+
+
+def _held(text: str):
+    """The JSON object or array that a text holds, else None."""
+    if text.lstrip()[:1] not in ("{", "["):
+        return None
+    try:
+        return json.loads(text)
+    except (ValueError, RecursionError):
+        return None
+
+
+def _number(text: str) -> int | float | None:
+    t = text.strip()
+    if not _NUMBER.fullmatch(t):
+        return None
+    if t.lstrip("+-").isdigit():
+        return int(t) if len(t) < 400 else None
+    return x if math.isfinite(x := float(t)) else None
+
+
+def _fits(v) -> int:
+    """Which types hold a single value without loss."""
+    if isinstance(v, bool):
+        return LONG | DOUBLE | BOOLEAN
+    if isinstance(v, str):
+        flag = BOOLEAN if v.strip().lower() in TRUE | FALSE else 0
+        n = _number(v)
+        return flag if n is None else flag | _fits(n) & ~BOOLEAN
+    if isinstance(v, float):
+        return DOUBLE | (BOOLEAN if v in (0, 1) else 0)
+    return (LONG if -(2**63) <= v < 2**63 else 0) | (DOUBLE if abs(v) <= 2**53 else 0) | (BOOLEAN if v in (0, 1) else 0)
+
+
+def _meet(v, path: tuple, at: str, depth: int, via: tuple | None, names: dict[str, str], out: dict[tuple, list[int]]) -> None:
+    """Adds to out[path, via, plain] what stands at each path: [strings, numbers, booleans, objects, depth of arrays, types that fit].
+
+    ``via`` is the path of the text that holds the value, if one does; a text
+    that holds an object or array is not plain, and counts as text only where
+    no object or array stands otherwise.
+    """
+    if v is None:
+        return
+    held = _held(v) if isinstance(v, str) else None
+    f = out.setdefault((path, via, held is None), [0, 0, 0, 0, 0, LONG | DOUBLE | BOOLEAN])
+    f[4] = max(f[4], depth)
+    if isinstance(v, dict):
+        f[3] += 1
+        for name, p, x in _renamed(v, at, names):
+            _meet(x, (*path, name), p, 0, via, names, out)
+    elif isinstance(v, list):
+        f[4] = max(f[4], depth + 1)
+        for x in v:
+            _meet(x, path, at, depth + 1, via, names, out)
+    else:
+        f[0 if isinstance(v, str) else 2 if isinstance(v, bool) else 1] += 1
+        f[5] &= _fits(v)
+    if held is not None:
+        _meet(held, path, at, depth, path, names, out)
+
+
+def _as_type(path: tuple, facts: dict[tuple, list], below: dict[tuple, list[tuple]]) -> T.DataType:
+    votes, objects, depth, fits = facts[path]
+    if objects and path in below:
+        t = T.StructType(_fields(path, facts, below))
+    else:
+        kind = max(range(3), key=lambda i: (votes[i], (0, 2, 1)[i]))  # of equals a number, then a boolean
+        t = T.StringType()
+        if not objects and kind == 1 and fits & (LONG | DOUBLE):
+            t = T.LongType() if fits & LONG else T.DoubleType()
+        elif not objects and kind == 2 and fits & BOOLEAN:
+            t = T.BooleanType()
+        if not sum(votes):
+            t = T.StringType()
+    for _ in range(depth):
+        t = T.ArrayType(t)
+    return t
+
+
+def _fields(path: tuple, facts: dict[tuple, list], below: dict[tuple, list[tuple]]) -> list[T.StructField]:
+    return [T.StructField(p[-1], _as_type(p, facts, below)) for p in below.get(path, ())]
+
+
+def schema_of(lines: DataFrame) -> T.StructType:
+    """The schema of all records, of lines (series, file_seq, record_json, names): the union of their fields under their first names.
+
+    A path with an object anywhere is a struct, one with an array anywhere an
+    array, also where other files hold the same as text or as a single element.
+    A single value has the type it had in the first file of its series that had
+    it (of several series, what most have) if every value met can be cast to
+    it, else it is a string. Names that differ in case only are one field, under
+    the spelling that is last in byte order (lower case).
+    Only one row per path comes to the driver.
+    """
+    cols = ["series", "file_seq", "path", "via", "plain", "strings", "numbers", "booleans", "objects", "depth", "fits"]
+
+    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, dict[str, str]] = {}
+        for b in batches:
+            files: dict[tuple, dict[tuple, list[int]]] = {}
+            for key, line, names in zip(zip(b["series"], b["file_seq"], strict=True), b["record_json"], b["names"], strict=True):
+                if (v := readable(line)) is not None:
+                    _meet(v, (), "", 0, None, _names(known, names), files.setdefault(key, {}))
+            rows = [
+                (*key, json.dumps(path), None if via is None else json.dumps(via), plain, *f) for key, out in files.items() for (path, via, plain), f in out.items() if path
+            ]
+            yield pd.DataFrame(rows, columns=cols).astype({"file_seq": "Int64", "plain": "bool"})
+
+    met = lines.select("series", "file_seq", "record_json", "names").mapInPandas(
+        gather, "series string, file_seq long, path string, via string, plain boolean, strings long, numbers long, booleans long, objects long, depth int, fits int"
+    )
+    sums = [F.sum(c).alias(c) for c in ("strings", "numbers", "booleans", "objects")] + [F.max("depth").alias("depth"), F.bit_and("fits").alias("fits")]
+    of_file = met.groupBy("series", "file_seq", "path", "via", "plain").agg(*sums)
+    single = F.col("strings") + F.col("numbers") + F.col("booleans") > 0
+    # greatest of structs: the kind that most values of the file have, of equals a number, then a boolean
+    kind = F.greatest(*(F.struct(F.col(c).alias("n"), F.lit(o).alias("o"), F.lit(i).alias("i")) for c, o, i in (("strings", 0, 0), ("numbers", 2, 1), ("booleans", 1, 2))))["i"]
+    first = F.min_by(F.when(single, kind), F.when(single, F.col("file_seq"))).alias("first")
+    of_series = of_file.groupBy("series", "path", "via", "plain").agg(first, F.sum("objects").alias("objects"), F.max("depth").alias("depth"), F.bit_and("fits").alias("fits"))
+    votes = [F.count_if(F.col("first") == i).alias(f"v{i}") for i in range(3)]
+    rows = of_series.groupBy("path", "via", "plain").agg(*votes, F.sum("objects").alias("objects"), F.max("depth").alias("depth"), F.bit_and("fits").alias("fits")).limit(MOST_FIELDS + 1).collect()
+    if len(rows) > MOST_FIELDS:
+        raise ValueError(f"more than {MOST_FIELDS} fields: keys seem to be data")
+
+    spelling: dict[tuple, str] = {}
+    raw_rows = [(tuple(json.loads(r["path"])), None if r["via"] is None else tuple(json.loads(r["via"])), r) for r in rows]
+    for path, _, _ in raw_rows:
+        low = tuple(x.lower() for x in path)
+        spelling[low] = max(spelling.get(low, ""), path[-1])
+    holds: set[tuple] = set()
+    facts: dict[tuple, list] = {}
+    todo = sorted(((tuple(x.lower() for x in p), v and tuple(x.lower() for x in v), r) for p, v, r in raw_rows), key=lambda x: (len(x[0]), x[0]))
+    for _ in range(len(todo) + 1):  # texts within texts: again until nothing more is found to hold objects
+        more = {p for p, v, r in todo if (v is None or v in holds) and (v != p or p in holds) and (r["objects"] or r["depth"])} - holds
+        holds |= more
+        if not more:
+            break
+    for low, via, r in todo:
+        if (via is not None and via not in holds) or (not r["plain"] and low in holds):
+            continue
+        f = facts.setdefault(low, [[0, 0, 0], 0, 0, LONG | DOUBLE | BOOLEAN])
+        f[0] = [x + r[f"v{i}"] for i, x in enumerate(f[0])]
+        f[1] += r["objects"]
+        f[2] = max(f[2], r["depth"])
+        f[3] &= r["fits"]
+    named = {tuple(spelling[low[: i + 1]] for i in range(len(low))): f for low, f in facts.items()}
+    below: dict[tuple, list[tuple]] = {}
+    for p in sorted(named):
+        below.setdefault(p[:-1], []).append(p)
+    return T.StructType(_fields((), named, below) or [T.StructField("id", T.StringType())])
+
+
+def _names(known: dict[str, dict[str, str]], names: str | None) -> dict[str, str]:
+    if not names:
+        return {}
+    if names not in known:
+        known[names] = json.loads(names)
+    return known[names]
+
+
+def _whole(v, t: T.DataType) -> int | None:
+    n = _number(v) if isinstance(v, str) else v
+    if isinstance(n, float):
+        n = int(n) if n.is_integer() else None
+    bits = {T.ByteType: 7, T.ShortType: 15, T.IntegerType: 31, T.LongType: 63}[type(t)]
+    return int(n) if n is not None and -(2**bits) <= n < 2**bits else None
+
+
+def _fitted(v, t: T.DataType, path: str, names: dict[str, str]):
+    """The value as the type wants it, under first names; None if it can't be cast."""
+    if v is None:
+        return None
+    if isinstance(t, T.ArrayType):
+        if isinstance(v, str):
+            held = _held(v)
+            v = [x.strip() for x in v.split(";") if x.strip()] if held is None else held
+        if isinstance(v, list):
+            out = [_fitted(x, t.elementType, path, names) for x in v]
+            return out if not v or any(x is not None for x in out) or all(x is None for x in v) else None
+        one = _fitted(v, t.elementType, path, names)
+        return None if one is None else [one]
+    if isinstance(t, T.StructType):
+        v = _held(v) if isinstance(v, str) else v
+        v = v[0] if isinstance(v, list) and len(v) == 1 else v
+        if not isinstance(v, dict):
+            return None
+        exact, out = {f.name: f for f in t}, {}
+        folded = {f.name.lower(): f for f in t}
+        for name, p, x in sorted(_renamed(v, path, names), key=lambda r: r[0] not in exact):
+            f = exact.get(name) or folded.get(name.lower())
+            if f is not None and out.get(f.name) is None:
+                out[f.name] = _fitted(x, f.dataType, p, names)
+        return out
+    if isinstance(t, T.StringType):
+        return v if isinstance(v, str) else json.dumps(_rewritten(v, path, names), ensure_ascii=False)
+    if isinstance(v, (dict, list)):
+        return v if isinstance(t, (T.MapType, T.VariantType)) else None
+    if isinstance(t, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return _whole(v, t)
+    if isinstance(t, (T.DoubleType, T.FloatType)):
+        n = _number(v) if isinstance(v, str) else v
+        return None if n is None or isinstance(n, int) and abs(n) >= 10**308 else float(n)
+    if isinstance(t, T.BooleanType):
+        if isinstance(v, str):
+            return True if v.strip().lower() in TRUE else False if v.strip().lower() in FALSE else None
+        return bool(v) if v in (0, 1) else None
     return v
 
 
@@ -308,7 +533,7 @@ def first_names(raw: DataFrame, change: DataFrame) -> DataFrame:
     """(file_name, names): of each file after a renaming, which path had which name in its series' first file.
 
     The renamings of a series (one row each, not its records) are put in order
-    and carried from file to file.
+    and carried from file to file, their paths without marks of arrays.
     """
     files = raw.select("series", F.col("file_seq").cast("long").alias("file_seq"), "file_name").distinct()
     per_file = change.filter("change = 'renamed'").groupBy("file_name").agg(F.array_sort(F.collect_list(F.struct("old_path", "new_path"))).alias("r"))
@@ -321,9 +546,9 @@ def first_names(raw: DataFrame, change: DataFrame) -> DataFrame:
                 names: dict[str, str] = {}
                 for step in steps:
                     for r in step["r"]:
-                        o, n = r["old_path"], r["new_path"]
+                        o, n = _unmarked(r["old_path"]), _unmarked(r["new_path"])
                         names[n] = names.pop(o, o.rpartition(".")[2])
-                        for p in [p for p in names if p.startswith((o + ".", o + "[]"))]:
+                        for p in [p for p in names if p.startswith(o + ".")]:
                             names[n + p[len(o) :]] = names.pop(p)
                     rows.append((s, step["file_seq"], json.dumps(names)))
             yield pd.DataFrame(rows, columns=["series", "from_seq", "names"])
@@ -333,26 +558,35 @@ def first_names(raw: DataFrame, change: DataFrame) -> DataFrame:
     return both.groupBy("file_name").agg(F.max_by("names", "from_seq").alias("names"))
 
 
-def unify(raw: DataFrame, change: DataFrame, schema: str) -> DataFrame:
-    """One row per readable line: (raw_id, series, file_name, id, record, rest), record cast to ``schema``.
+def unify(raw: DataFrame, change: DataFrame, schema: str | T.StructType | None = None) -> DataFrame:
+    """One row per readable line: (raw_id, series, file_name, id, record, rest), record cast to ``schema``, by default ``schema_of`` all lines.
 
-    Renamed fields get back the name they had in the first file of their series;
-    a value that can't be cast is null in ``record`` and kept in ``rest`` (the
-    rewritten JSON text), where also fields outside the schema stay.
+    Renamed fields get back the name they had in the first file of their series.
+    Values are cast: numbers and booleans from text and back, objects and arrays
+    from the JSON text that holds them, arrays from a single element or from a
+    text with ``;`` between the elements. A value that can't be cast is null in
+    ``record`` and kept in ``rest`` (the JSON text under first names, values as
+    they came), where also fields outside the schema stay, and the second of two
+    fields of an object whose names differ in case only.
     """
+    tables = SharedTables(raw.sparkSession, "unify")
+    names = tables.save(first_names(raw, change), "names")
+    lines = raw.select("raw_id", "series", F.col("file_seq").cast("long").alias("file_seq"), "file_name", "record_json").join(names, "file_name", "left")
+    t = schema_of(lines) if schema is None else schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
 
     def rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, dict[str, str]] = {}
+        text = lambda x: json.dumps(x, ensure_ascii=False)
         for b in batches:
             out = []
             for rid, s, f, line, names in zip(b["raw_id"], b["series"], b["file_name"], b["record_json"], b["names"], strict=True):
                 v = readable(line)
                 if v is None:
                     continue
-                w = _rewritten(v, "", known.setdefault(names, json.loads(names))) if names else v
-                out.append((rid, s, f, w.get("id") if isinstance(w.get("id"), str) else None, json.dumps(w, ensure_ascii=False)))
-            yield pd.DataFrame(out, columns=["raw_id", "series", "file_name", "id", "rest"])
+                n = _names(known, names)
+                w = _rewritten(v, "", n)
+                out.append((rid, s, f, w.get("id") if isinstance(w.get("id"), str) else None, text(_fitted(v, t, "", n)), text(w)))
+            yield pd.DataFrame(out, columns=["raw_id", "series", "file_name", "id", "record", "rest"])
 
-    lines = raw.select("raw_id", "series", "file_name", "record_json").join(first_names(raw, change), "file_name", "left")
-    rows = lines.mapInPandas(rewrite, "raw_id long, series string, file_name string, id string, rest string")
-    return rows.select("raw_id", "series", "file_name", "id", F.from_json("rest", schema).alias("record"), "rest")
+    rows = lines.select("raw_id", "series", "file_name", "record_json", "names").mapInPandas(rewrite, "raw_id long, series string, file_name string, id string, record string, rest string")
+    return rows.select("raw_id", "series", "file_name", "id", F.from_json("record", t).alias("record"), "rest")

@@ -9,11 +9,6 @@ from taxaflow.operators import drift, hierarchy, nested, orphans
 
 LABELS = {"resolution.candidates[]": "candidate", "resolution.candidates[].blocks[]": "block"}
 NESTED = ["classifier", "resolution"]
-RECORD = """schema_version string, pipeline_version string, paper string, page int, fig_index int, saved_to string,
- epithet struct<genus: string, species: string, binomial: string, confidence: double, uncertain: boolean, rule: string, all_candidates: array<string>>,
- classifier struct<image_type: string, confidence: double, width: int>,
- resolution struct<binomial: string, genus: string, epithet: string, strategy: string, confidence: double,
-  candidates: array<struct<binomial: string, strategy: string, confidence: double, dist: double>>>"""
 
 
 def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -58,7 +53,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_table(spark: SparkSession, d: str) -> DataFrame:
     raw = _read(spark, d, "training_index_raw")
-    return drift.unify(raw, drift.changes(raw), RECORD)
+    return drift.unify(raw, drift.changes(raw))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

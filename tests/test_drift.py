@@ -76,3 +76,50 @@ def test_one_table(spark):
     df = raw(spark, ("s", 1, a), ("s", 2, b), ("s", 3, c))
     u = D.unify(df, D.changes(df), "x struct<old: int>")
     assert sorted((r.file_name, r.id, r.record.x.old) for r in u.collect()) == [("s1", "1", 5), ("s2", "1", 5), ("s2", "2", 7), ("s3", "2", 7), ("s3", "4", None)]
+
+
+def table(spark, *files):
+    df = raw(spark, *files)
+    return D.unify(df, D.changes(df)).orderBy("raw_id")
+
+
+def test_retyped_values_are_cast(spark):
+    a = [{"id": "1", "page": 95853, "version": "4.2", "c": {"confidence": 0.5, "width": 7}, "u": True, "mixed": 1}]
+    b = [{"id": "2", "page": "95853", "version": 3.0, "c": {"confidence": "0.07214", "width": "1352"}, "u": "false", "mixed": "one"}]
+    b += [{"id": "3", "page": "4", "version": 3.1, "c": {"confidence": "1e-3", "width": "8"}, "u": 1, "mixed": "two"}]
+    u = table(spark, ("s", 1, a), ("s", 2, b))
+    t = "struct<c:struct<confidence:double,width:bigint>,id:string,mixed:string,page:bigint,u:boolean,version:string>"
+    assert dict(u.dtypes)["record"] == t
+    assert [(r.record.page, r.record.c.confidence, r.record.c.width, r.record.u, r.record.version, r.record.mixed) for r in u.collect()] == [
+        (95853, 0.5, 7, True, "4.2", "1"), (95853, 0.07214, 1352, False, "3.0", "one"), (4, 0.001, 8, True, "3.1", "two"),
+    ]
+    df = raw(spark, ("s", 1, a), ("s", 2, b))
+    given = D.unify(df, D.changes(df), "page int, c struct<confidence: double, width: int>, mixed int").orderBy("raw_id").collect()
+    assert [(r.record.page, r.record.c.confidence, r.record.c.width, r.record.mixed) for r in given] == [(95853, 0.5, 7, 1), (95853, 0.07214, 1352, None), (4, 0.001, 8, None)]
+
+
+def test_objects_held_as_text_single_objects_and_joined_lists(spark):
+    e = {"genus": "Q", "names": ["A b", "C d"], "cand": [{"dist": 1.5}, None, {"dist": 2}]}
+    text = {"id": "2", "e": json.dumps(e)}
+    single = {"id": "3", "e": {"genus": "Q", "names": "A b; C d", "cand": {"dist": "2.5", "extra": True}}}
+    inner = {"id": "4", "e": {"genus": "Q", "names": "A b", "cand": json.dumps(e["cand"])}}
+    bad = {"id": "5", "e": "no object"}
+    u = table(spark, ("s", 1, [{"id": "1", "e": e}]), ("s", 2, [text]), ("s", 3, [single]), ("t", 1, [inner]), ("u", 1, [bad]))
+    assert dict(u.dtypes)["record"] == "struct<e:struct<cand:array<struct<dist:double,extra:boolean>>,genus:string,names:array<string>>,id:string>"
+    got = [(r.record.e and r.record.e.asDict(True), json.loads(r.rest)["e"]) for r in u.collect()]
+    whole = {"cand": [{"dist": 1.5, "extra": None}, None, {"dist": 2.0, "extra": None}], "genus": "Q", "names": ["A b", "C d"]}
+    assert [g[0] for g in got] == [whole, whole, whole | {"cand": [{"dist": 2.5, "extra": True}]}, whole | {"names": ["A b"]}, None]
+    assert got[4][1] == "no object"
+
+
+def test_names_hold_through_wrapping_and_case(spark):
+    a = [{"id": "1", "l": [{"rule": "x"}], "v": 1}]
+    b = [{"id": "1", "l": [{"regra": "x"}], "v": 1}]
+    c = [{"id": "1", "l": {"regra": "x"}, "V": 1}, {"id": "2", "l": {"regra": "y"}, "V": "2"}]
+    u = table(spark, ("s", 1, a), ("s", 2, b), ("s", 3, c), ("t", 1, [{"id": "9", "L": [], "V": 5}]))
+    assert dict(u.dtypes)["record"] == "struct<id:string,l:array<struct<rule:string>>,v:bigint>"
+    assert [([x.rule for x in r.record.l], r.record.v) for r in u.collect()] == [(["x"], 1), (["x"], 1), (["x"], 1), (["y"], 2), ([], 5)]
+
+
+def test_one_table_of_nothing(spark):
+    assert table(spark, ("s", 1, ["", "{"])).count() == 0
