@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from taxaflow.functions import naming, vectors
 from taxaflow.functions import patterns as P
 from taxaflow.operators import captions, graph, legend, pipelines, records, similarity, vision
-from taxaflow.runtime import spread
+from taxaflow.runtime import numbered, spread
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -470,9 +470,12 @@ def e1_built_in_vocabulary(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def e2_names_of_documents(spark: SparkSession, d: str) -> DataFrame:
-    """Captions of a paper as its pages; of a page without its number no order is known, so it comes last."""
-    t = _read(spark, d, "training_index").filter("paper IS NOT NULL AND caption_raw IS NOT NULL")
-    pages = t.groupBy("paper", F.coalesce("page", F.lit(2**30)).alias("page")).agg(F.max("caption_raw").alias("text"))
+    """Every caption of a paper as a page of its own, by page, figure and record; those without a number come after the others.
+
+    Captions that are blank, and so part no name, come last.
+    """
+    t = _read(spark, d, "training_index").filter("paper IS NOT NULL AND caption_raw IS NOT NULL").select("paper", "page", "fig_index", "rec_id", F.col("caption_raw").alias("text"))
+    pages = numbered(t.withColumnRenamed("page", "sheet"), [F.col("paper"), ~F.col("text").rlike(r"(?U)\S"), F.asc_nulls_last("sheet"), F.asc_nulls_last("fig_index"), F.col("rec_id")], "page")
     return captions.epithet_of_pages(pages, "paper", None).select("paper", "epithet.rule", "epithet.genus", "epithet.binomial")
 
 

@@ -7,8 +7,9 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 SESSION_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -90,6 +91,20 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df`` with each row's place in ``order``, which must leave no ties, from 0 on in column ``name``.
+
+    Rows are sorted by ranges and written once; a row's place is its place in
+    its range and the rows of the ranges before it. So a key with many rows is
+    many ranges, and only one row per range meets in one task.
+    """
+    ranges = df.orderBy(*order).withColumns({"_range": F.spark_partition_id(), "_place": F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1))})
+    rows = SharedTables(df.sparkSession, "numbered").save(ranges, "sorted")
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    start = rows.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", before.alias("_before"))
+    return rows.join(F.broadcast(start), "_range").withColumn(name, F.col("_before") + F.col("_place")).drop("_range", "_place", "_before")
+
+
 def has_rows(df: DataFrame) -> bool:
     return bool(df.limit(1).count())
 

@@ -134,3 +134,30 @@ def test_dehyphenated_and_noise(spark):
 def test_name_syntax(spark):
     rows = [("Tetracladium", True), ("Tet", False), ("Helotiales", False), ("tetracladium", False), ("TeTra", False), ("Scale", False), ("Tri-cladium", True)]
     assert [r[0] for r in one(spark, [(g,) for g, _ in rows], "g string", P.genus_syntax(F.col("g")))] == [x for _, x in rows]
+
+
+def test_every_caption_of_a_paper_is_read(spark, tmp_path):
+    from taxaflow.plans.reference_queries import e2_names_of_documents
+
+    n = "zz, no name"
+    rows = [
+        ("two", 1, 1, "Alatospora acuminata"), ("two", 1, 2, n), ("two", 2, 1, "Zzz later"),
+        ("order", 2, 1, "Lemonniera aquatica"), ("order", 1, 3, "Tetracladium setigerum"), ("order", 1, 2, "Alatospora acuminata"), ("order", 1, None, "Zymosella prima"),
+        ("unnumbered", None, 1, "Alatospora acuminata"), ("unnumbered", None, 2, n), ("unnumbered", 7, 1, n),
+        ("parted", 1, 1, "of Tetracladium"), ("parted", 1, 2, " "), ("parted", 3, 1, "marchalianum here"),
+        ("blank", 1, 1, " "), ("none", 1, 1, None), (None, 1, 1, "Alatospora acuminata"),
+    ] + [("hot", i // 9, i, n) for i in range(900)] + [("hot", 99, 5, "Alatospora acuminata")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "rec_id long, paper string, page int, fig_index int, caption_raw string")
+    df.repartition(7).write.parquet(str(tmp_path / "training_index.parquet"))
+    got = {r.paper: (r.rule, r.binomial) for r in e2_names_of_documents(spark, str(tmp_path)).collect()}
+    name = ("binomial-strict", "Alatospora acuminata")
+    assert got == {"two": name, "order": name, "unnumbered": name, "parted": ("binomial-strict", "Tetracladium marchalianum"), "blank": ("empty-caption", None), "hot": name}
+
+
+def test_numbers_in_order(spark):
+    from taxaflow.runtime import numbered
+
+    df = spark.range(1000).withColumn("k", F.col("id") % 7).repartition(9)
+    got = [tuple(r) for r in numbered(df, [F.desc("k"), F.col("id")], "at").orderBy("at").select("k", "id", "at").collect()]
+    assert got == [(k, i, n) for n, (k, i) in enumerate(sorted(((i % 7, i) for i in range(1000)), key=lambda x: (-x[0], x[1])))]
+    assert numbered(df.limit(0), [F.col("id")], "at").count() == 0
