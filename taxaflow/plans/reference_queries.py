@@ -12,6 +12,7 @@ from taxaflow.functions import naming, vectors
 from taxaflow.functions import patterns as P
 from taxaflow.operators import captions, graph, legend, pipelines, records, similarity, vision
 from taxaflow.runtime import numbered, spread
+from taxaflow.sources.readers import Vocabulary
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -562,16 +563,22 @@ def _pages(spark: SparkSession, d: str) -> DataFrame:
     return b.groupBy(F.col("paper").alias("pdf"), "page").agg(text.alias("text"))
 
 
+def _genera(spark: SparkSession, d: str) -> list[str]:
+    """All genera of the reference; more than a vocabulary can hold are an error."""
+    g = _read(spark, d, "ref_taxa").filter("taxon_rank = 'genus'").select("genus").distinct()
+    return Vocabulary([r["genus"] for r in g.limit(Vocabulary.MOST + 1).collect()], "ref_taxa").names
+
+
 @query()
 def e4_legends(spark: SparkSession, d: str) -> DataFrame:
-    g = [r["genus"] for r in _read(spark, d, "ref_taxa").filter("taxon_rank = 'genus'").select("genus").limit(5000).collect()]
+    g = _genera(spark, d)
     p = legend.legends(_pages(spark, d), g)
     return p.select("pdf", "page", F.explode("legend").alias("l")).select("pdf", "page", "l.*")
 
 
 @query()
 def e5_resolved(spark: SparkSession, d: str) -> DataFrame:
-    g = [r["genus"] for r in _read(spark, d, "ref_taxa").filter("taxon_rank = 'genus'").select("genus").limit(5000).collect()]
+    g = _genera(spark, d)
     pages = legend.legends(_pages(spark, d), g)
     crops = _crops(_boxes(spark, d)).withColumnRenamed("paper", "pdf")
     return legend.resolve(crops, _blocks(spark, d).withColumnRenamed("paper", "pdf"), pages, g)
@@ -734,7 +741,7 @@ def _image_table(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def e10_page_records(spark: SparkSession, d: str) -> DataFrame:
-    g = [r["genus"] for r in _read(spark, d, "ref_taxa").filter("taxon_rank = 'genus'").select("genus").limit(5000).collect()]
+    g = _genera(spark, d)
     i = _image_table(spark, d)
     crops = i.select("pdf", "page", F.col("image_id").alias("crop_id"), "fig_index", ((F.col("x0") + F.col("x1")) / 2).alias("cx"), ((F.col("y0") + F.col("y1")) / 2).alias("cy"), "content_hash")
     kinds = i.select(F.col("image_id").alias("crop_id"), "image_type", "classifier.confidence", F.col("classifier.rule_fired").alias("rule"))

@@ -161,3 +161,18 @@ def test_numbers_in_order(spark):
     got = [tuple(r) for r in numbered(df, [F.desc("k"), F.col("id")], "at").orderBy("at").select("k", "id", "at").collect()]
     assert got == [(k, i, n) for n, (k, i) in enumerate(sorted(((i % 7, i) for i in range(1000)), key=lambda x: (-x[0], x[1])))]
     assert numbered(df.limit(0), [F.col("id")], "at").count() == 0
+
+
+def test_no_genus_of_the_reference_is_left_out(spark, tmp_path, monkeypatch):
+    from taxaflow.plans import reference_queries as Q
+
+    d = str(tmp_path)
+    genera = [f"G{''.join(chr(97 + i // 26**j % 26) for j in range(4))}" for i in range(5001)]
+    spark.createDataFrame([(g, "genus") for g in genera] + [("Nullus", "species")], "genus string, taxon_rank string").coalesce(1).write.parquet(f"{d}/ref_taxa.parquet")
+    block = (1, (0.0, 0.0, 1.0, 1.0), f"1. {genera[0]} prima; 2. {genera[-1]} ultima")
+    kind = "paper string, page int, resolution struct<candidates: array<struct<blocks: array<struct<block_no: int, bbox: struct<x0: double, y0: double, x1: double, y1: double>, text: string>>>>>"
+    spark.createDataFrame([("a", 1, ([([block],)],))], kind).write.parquet(f"{d}/training_index.parquet")
+    assert {(r.number, r.genus, r.confidence) for r in Q.e4_legends(spark, d).collect()} == {(1, genera[0], 0.95), (2, genera[-1], 0.95)}
+    monkeypatch.setattr(Q.Vocabulary, "MOST", 5000)
+    with pytest.raises(ValueError):
+        Q.e4_legends(spark, d)
