@@ -4,7 +4,8 @@ Names are folded (case, accents) and cut into tokens; adjacent tokens are also
 joined, as words may be divided. Each distinct token is joined to the
 vocabulary of the reference list by edit distance: a word within ``k`` edits
 holds one of the k + 1 segments of the vocabulary word unchanged, so equal
-segments at a near place give all candidates, and ``levenshtein`` decides. The
+segments at a near place give all candidates, and ``levenshtein`` decides. A
+token of four or five letters may have one edit, a shorter one none. The
 repaired tokens of a name are then combined with soft TF-IDF, which ranks the
 entries whose every token was found.
 
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 from taxaflow.runtime import SharedTables, small_side
 
 EDITS, SHORTEST, ABBREVIATION = 2, 6, 5
+#: Shorter tokens than SHORTEST may have one edit from so many letters on, below that none.
+ONE_EDIT = 4
 #: Accented letters and their plain forms (fixed values).
 ACCENTED = "àáâãäåāăąçćčďèéêëēęěìíîïīłñńňòóôõöøōőŕřśšťùúûüūůűýÿźžż"
 PLAIN = "aaaaaaaaacccdeeeeeeeiiiiilnnnooooooooorrsstuuuuuuuyyzzz"
@@ -113,6 +116,13 @@ def near_words(tokens: DataFrame, words: DataFrame, k: int = EDITS) -> DataFrame
     return pairs.withColumn("edits", edits).filter("edits >= 0").distinct()
 
 
+def _near(tokens: DataFrame, words: DataFrame) -> DataFrame:
+    """``near_words`` with as many edits as a token of its length may have."""
+    n = F.length("token")
+    same = tokens.filter(n < ONE_EDIT).join(small_side(words.filter(F.length("word") < ONE_EDIT)), F.col("token") == F.col("word")).select("token", "word", F.lit(0).alias("edits"))
+    return near_words(tokens.filter(n >= SHORTEST), words).union(near_words(tokens.filter((n >= ONE_EDIT) & (n < SHORTEST)), words, 1)).union(same)
+
+
 def map_names(names: DataFrame, taxa: DataFrame) -> DataFrame:
     """(name, taxon_id, score) of each distinct ``name``; taxon_id 0 and score 0 if no entry is meant.
 
@@ -130,8 +140,9 @@ def map_names(names: DataFrame, taxa: DataFrame) -> DataFrame:
     size = F.size("toks")
     pairs = F.when(size > 1, F.transform(F.sequence(F.lit(0), size - 2), lambda i: F.struct(i.alias("at"), F.lit(2).alias("span"), F.concat(F.get("toks", i)["t"], F.get("toks", i + 1)["t"]).alias("token"))))
     ones = F.transform("toks", lambda x, i: F.struct(i.alias("at"), F.lit(1).alias("span"), x["t"].alias("token")))
-    spans = d.select("name", F.explode(F.concat(ones, F.coalesce(pairs, F.array_except(ones, ones)))).alias("s")).select("name", "s.*").filter(F.length("token") >= SHORTEST)
-    hits = near_words(spans.select("token").distinct(), vocab.select("word").distinct())
+    spans = d.select("name", F.explode(F.concat(ones, F.coalesce(pairs, F.array_except(ones, ones)))).alias("s")).select("name", "s.*")
+    spans = spans.filter((F.col("span") == 1) | (F.length("token") >= SHORTEST))
+    hits = _near(spans.select("token").distinct(), vocab.select("word").distinct())
     hits = tables.save(hits.join(small_side(vocab), "word").select("token", "word", "part", "idf", "edits"), "hits")
     sim = 1 - F.col("edits") / F.length("word")
     found = spans.join(hits, "token").select("name", "at", "span", "word", "part", "idf", sim.alias("sim"))
@@ -150,7 +161,8 @@ def map_names(names: DataFrame, taxa: DataFrame) -> DataFrame:
         .join(d, "name")
         .withColumn(
             "abbreviated",
-            F.array_max(F.transform(F.filter(short, lambda t, i: (F.length(t["t"]) <= ABBREVIATION) & (F.length(t["t"]) >= 1) & F.startswith("g", t["t"])), lambda t: F.length(t["t"]))),
+            # the epithet's own token stands for no genus
+            F.array_max(F.transform(F.filter(short, lambda t, i: ((i < F.col("at")) | (i >= F.col("at") + F.col("span"))) & (F.length(t["t"]) <= ABBREVIATION) & (F.length(t["t"]) >= 1) & F.startswith("g", t["t"])), lambda t: F.length(t["t"]))),
         )
         .filter("sim_g IS NOT NULL OR abbreviated IS NOT NULL")
     )

@@ -72,3 +72,15 @@ def test_edit_distance_join_is_complete(spark):
     for k in (1, 2):
         got = {(r.token, r.word, r.edits) for r in C.near_words(one(tokens, "token"), one(words, "word"), k).collect()}
         assert got == {(t, w, distance(t, w)) for t in set(tokens) for w in set(words) if distance(t, w) <= k}
+
+
+def test_short_words(spark):
+    rows = [(1, "Mucor", None), (2, "Mucor", "alba"), (3, "Mucor", "curta"), (4, "Albatrium", "alba"), (5, "Ova", "longissima"), (6, "Albatrium", "curta")]
+    t = spark.createDataFrame([(i, g if e is None else f"{g} {e}", g, e) for i, g, e in rows], "taxon_id int, name string, genus string, epithet string")
+    names = {
+        "M. alba": 2, "Mucor sp": 1, "mucor": 1, "alba Mucor": 2, "Mucor curtta": 3, "Mucr curta": 3, "curta (Mucor)": 3, "Alb. alba": 4, "alba": 0, "Mucor cf. alba": 2,
+        "longissima, Ova": 5, "Ovo sp": 0, "A. curta": 6, "sp": 0,
+    }
+    df = spark.createDataFrame(list(enumerate(names)), "rec_id long, binomial string").selectExpr("rec_id", "binomial", "CAST(NULL AS string) AS genus")
+    got = {r.name: r.taxon_id for r in C.canonical(df, t).collect()}
+    assert got == names
