@@ -4,13 +4,14 @@ Level-wise frontier joins: level 0 holds the roots, each next level is one
 equi-join of the last level with the links on the parent. A node is in exactly
 one level as a child has one parent, so all levels together move each node once.
 What no level reaches lies on a cycle or leads into one. Each level is written
-to the shared folder, so lineage stays one join deep however deep the trees are.
+to the shared folder, so lineage stays one join deep however deep the trees are,
+and all levels are read back as one table. Links that led to a level are left
+out once they are more than half of those kept, so that a deep tree doesn't
+read all links for each of its levels.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,23 +19,27 @@ from taxaflow.runtime import SharedTables, has_rows
 
 
 def parent_links(edges: DataFrame, prefix: str = "BELONGS_TO_") -> DataFrame:
-    """(node_id, parent_id): of each child's links the one loaded last, then of the largest edge_id.
+    """(node_id, parent_id) of each id on any link; parent_id is null for an id that is nobody's child.
 
     A link is an edge whose type begins with ``prefix`` (case and outer blanks
-    ignored) and whose ids are neither null nor blank. A null ``loaded_at`` is
-    earlier than any other. Repeated edges count once. A link of a node to
-    itself is a cycle.
+    ignored) and whose ids are neither null nor blank. Of each child's links the
+    one loaded last counts, then that of the largest edge_id; a null
+    ``loaded_at`` is earlier than any other. The parent of a link that doesn't
+    count is an id on a link all the same. Repeated edges count once. A link of
+    a node to itself is a cycle.
     """
     kind = F.upper(F.regexp_replace("type", r"^\s+|\s+$", ""))
-    return (
-        edges.filter(kind.startswith(prefix) & F.col("start_node_id").rlike(r"\S") & F.col("end_node_id").rlike(r"\S"))
-        .groupBy(F.col("start_node_id").alias("node_id"))
-        .agg(F.max_by("end_node_id", F.struct("loaded_at", "edge_id")).alias("parent_id"))
+    at = F.struct("loaded_at", "edge_id")
+    ends = F.array(
+        F.struct(F.col("start_node_id").alias("node_id"), F.col("end_node_id").alias("parent_id"), at.alias("at")),
+        F.struct(F.col("end_node_id").alias("node_id"), F.lit(None).alias("parent_id"), F.lit(None).alias("at")),
     )
+    valid = edges.filter(kind.startswith(prefix) & F.col("start_node_id").rlike(r"\S") & F.col("end_node_id").rlike(r"\S"))
+    return valid.select(F.explode(ends).alias("e")).groupBy(F.col("e.node_id").alias("node_id")).agg(F.max_by("e.parent_id", "e.at").alias("parent_id"))
 
 
 def hierarchy(links: DataFrame, paths: bool = True) -> DataFrame:
-    """(node_id, parent_id, root_id, depth, path) of each id on any link.
+    """(node_id, parent_id, root_id, depth, path) of each id of ``parent_links``.
 
     ``path`` (left out if ``paths`` is false) runs from the root to the node.
     Roots have depth 0, themselves as root_id and a null parent_id. Nodes on a
@@ -42,33 +47,26 @@ def hierarchy(links: DataFrame, paths: bool = True) -> DataFrame:
     links give no rows.
     """
     tables = SharedTables(links.sparkSession, "hierarchy")
+    path = lambda c: [c.alias("path")] if paths else []
     links = tables.save(links.select("node_id", "parent_id"), "links")
-    parents = links.select(F.col("parent_id").alias("node_id")).distinct()
-    root = parents.join(links, "node_id", "left_anti").select(
-        "node_id",
-        F.lit(None).cast("string").alias("parent_id"),
-        F.col("node_id").alias("root_id"),
-        F.lit(0).alias("depth"),
-        *([F.array("node_id").alias("path")] if paths else []),
-    )
-    levels = [tables.save(root, "level0")]
-    while has_rows(levels[-1]):
-        f = levels[-1].select(F.col("node_id").alias("parent_id"), "root_id", "depth", *(["path"] if paths else []))
-        reached = f.join(links, "parent_id").select(
-            "node_id",
-            "parent_id",
-            "root_id",
-            (F.col("depth") + 1).alias("depth"),
-            *([F.concat("path", F.array("node_id")).alias("path")] if paths else []),
-        )
-        levels.append(tables.save(reached, f"level{len(levels)}"))
-    trees = reduce(DataFrame.union, levels)
-    lost = links.join(trees.select("node_id"), "node_id", "left_anti").select(
-        "node_id",
-        "parent_id",
-        F.lit("").alias("root_id"),
-        F.lit(-1).alias("depth"),
-        *([F.lit(None).cast("array<string>").alias("path")] if paths else []),
+    depth0 = F.lit(0).alias("depth")
+    root = links.filter("parent_id IS NULL").select("node_id", "parent_id", F.col("node_id").alias("root_id"), depth0, *path(F.array("node_id")))
+    last = tables.save(root, "levels/0")
+    left = links.filter("parent_id IS NOT NULL")
+    kept = left.count()
+    used, level = 0, 0
+    while n := last.count() if kept > used else 0:
+        f = last.select(F.col("node_id").alias("parent_id"), "root_id", "depth", *path(F.col("path")))
+        reached = f.join(left, "parent_id").select("node_id", "parent_id", "root_id", (F.col("depth") + 1).alias("depth"), *path(F.concat("path", F.array("node_id"))))
+        used += n if level else 0
+        level += 1
+        last = tables.save(reached, f"levels/{level}")
+        if 2 * used > kept:
+            left = tables.save(left.join(tables.all("levels", root.schema).select("node_id"), "node_id", "left_anti"), f"left{level}")
+            kept, used = left.count(), 0
+    trees = tables.all("levels", root.schema)
+    lost = left.join(trees.select("node_id"), "node_id", "left_anti").select(
+        "node_id", "parent_id", F.lit("").alias("root_id"), F.lit(-1).alias("depth"), *path(F.lit(None).cast("array<string>"))
     )
     return trees.union(lost)
 

@@ -91,7 +91,7 @@ _LINKS = """WITH RECURSIVE e AS (SELECT start_node_id AS node_id, end_node_id AS
   FROM aquatic_hyphomycetes_graph WHERE upper(regexp_replace(type, '^\\s+|\\s+$', '', 'g')) LIKE 'BELONGS\\_TO\\_%' ESCAPE '\\'
     AND regexp_matches(start_node_id, '\\S') AND regexp_matches(end_node_id, '\\S')),
 l AS (SELECT node_id, parent_id FROM e WHERE rn = 1),
-t AS (SELECT DISTINCT parent_id AS node_id, parent_id AS root_id, 0 AS depth, parent_id AS path FROM l
+t AS (SELECT DISTINCT parent_id AS node_id, parent_id AS root_id, 0 AS depth, parent_id AS path FROM e
     WHERE parent_id NOT IN (SELECT node_id FROM l)
   UNION ALL SELECT l.node_id, t.root_id, t.depth + 1, t.path || '/' || l.node_id FROM t JOIN l ON l.parent_id = t.node_id),
 n AS (SELECT node_id, root_id, depth, path FROM t

@@ -9,6 +9,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 SESSION_CONF = {
@@ -66,6 +67,10 @@ class SharedTables:
         (w.partitionBy(by) if by else w).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def all(self, name: str, schema: T.StructType) -> DataFrame:
+        """All tables saved under names that begin with ``name/``, as one."""
+        return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{self.root}/{name}")
+
     def _delete(self, path: str) -> None:
         try:
             jvm = self.spark.sparkContext._jvm

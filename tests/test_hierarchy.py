@@ -31,7 +31,13 @@ def test_links_spelling_blank_ids_and_replacement(spark):
         (3, "BELONGS_TO_Y", "b", "d", T2),
     )
     _, _, got = solved(df)
-    assert got == {"b": ("d", 1), "d": ("d", 0)}
+    # the parents of links that were replaced stand on links too
+    assert got == {"b": ("d", 1), **{x: (x, 0) for x in "acde"}}
+
+
+def test_a_replaced_parent_may_have_a_parent_itself(spark):
+    df = edges(spark, (1, "BELONGS_TO_X", "b", "a", T1), (2, "BELONGS_TO_X", "b", "c", T2), (3, "BELONGS_TO_X", "a", "c", T1), (4, "BELONGS_TO_X", "c", "b", None))
+    assert solved(df)[2] == {x: ("", -1) for x in "abc"}
 
 
 def test_cycles_and_what_leads_into_them(spark):
