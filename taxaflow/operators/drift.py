@@ -7,7 +7,9 @@ field became which is found by similarity flooding: the two schema graphs
 scores flow along equal edges until they no longer change. Pairs of a gone and a
 new path under the same parent are then checked exactly: the values of all ids
 that have both must be equal. Only those paths' values are read, in a second
-pass over the files concerned.
+pass over the files concerned. Where no id has both, the scores alone decide:
+each path must be the other's best partner in the whole of the other schema. The
+scores also choose among pairs that qualify, so that each path is used once.
 
 Records are never grouped by file: only shapes (as many rows as a schema has
 paths) and checked values (joined on the id) are.
@@ -23,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
@@ -32,6 +34,10 @@ from taxaflow.runtime import SharedTables
 
 KINDS = ("string", "number", "boolean", "object", "array")
 BITS = {k: 1 << i for i, k in enumerate(KINDS)}
+#: A schema has at most so many fields; beyond that, keys are data and the schema is refused, not cut.
+MOST_FIELDS = 20_000
+#: The least score of a pair of paths that is matched without values to confirm it (the largest score of two schemas is 1).
+MATCHED = 0.3
 
 
 def _kind(v) -> int:
@@ -76,7 +82,7 @@ def _plain(v):
     if isinstance(v, (int, float)):
         return float(v) if abs(v) < 1e300 else str(v)
     if isinstance(v, dict):
-        return {k: _plain(x) for k, x in v.items() if x is not None}
+        return {k: _plain(x) for k, x in v.items()}
     return [_plain(x) for x in v]
 
 
@@ -169,7 +175,13 @@ def flood(old: dict[str, int], new: dict[str, int], eps: float = 1e-4, most: int
 
 
 def compare(old: dict[str, int], new: dict[str, int]) -> tuple[list[tuple], list[tuple]]:
-    """(changes that are certain, candidates for a renaming), each (old path, new path, kind or score)."""
+    """(changes that are certain, candidates for a renaming): (old path, new path, kind) and (old path, new path, score, matched).
+
+    Two paths are matched if each is the other's best partner, the score is not
+    under MATCHED, and their names have something in common.
+    """
+    if max(len(old), len(new)) > MOST_FIELDS:
+        raise ValueError(f"more than {MOST_FIELDS} paths in a file: keys seem to be data")
     kept = {p for p in old if p in new}
     retyped = {p for p in kept if old[p] != new[p]}
 
@@ -189,34 +201,45 @@ def compare(old: dict[str, int], new: dict[str, int]) -> tuple[list[tuple], list
     for p in come:
         under.setdefault(parent(p), []).append(p)
     scores = flood(old, new) if any(parent(p) in under for p in gone) else None
-    pairs = [(p, q, float(scores.at[p, q])) for p in gone for q in under.get(parent(p), ())] if scores is not None else []
+    pairs = []
+    if scores is not None:
+        to_new, to_old = scores.max(axis=1), scores.max(axis=0)
+        for p in gone:
+            for q in under.get(parent(p), ()):
+                x = float(scores.at[p, q])
+                alike = not _bigrams(p.rpartition(".")[2]).isdisjoint(_bigrams(q.rpartition(".")[2]))
+                pairs.append((p, q, x, alike and x >= MATCHED and x >= max(to_new[p], to_old[q])))
     return fixed + [(p, "", "removed") for p in gone] + [("", p, "added") for p in come], pairs
 
 
+def _file() -> Column:
+    """One key of a file: a name may be used again in another series."""
+    return F.to_json(F.struct("series", "file_seq", "file_name")).alias("file")
+
+
 def _pairs_of_files(raw: DataFrame, shaped: DataFrame) -> DataFrame:
-    """One row per file that has one before it: both names and both shapes."""
-    files = raw.select("series", F.col("file_seq").cast("long").alias("file_seq"), "file_name").distinct()
-    whole = shaped.groupBy("series", "file_seq", "file_name").agg(F.collect_list(F.struct("path", "types")).alias("shape"))
+    """(file, old_file, new_shape, old_shape) of each file that has one before it in its series."""
+    files = raw.select("series", "file_seq", "file_name").distinct()
+    whole = shaped.groupBy(_file()).agg(F.collect_list(F.struct("path", "types")).alias("shape"))
     by_series = W.partitionBy("series").orderBy("file_seq", "file_name")
-    order = files.select("series", "file_name", F.lag("file_name").over(by_series).alias("old_name")).filter("old_name IS NOT NULL")
-    names = whole.select(F.col("file_name"), "shape")
+    order = files.select(_file(), F.lag(_file()).over(by_series).alias("old_file")).filter("old_file IS NOT NULL")
     return (
-        order.join(names, "file_name", "left")
+        order.join(whole, "file", "left")
         .withColumnRenamed("shape", "new_shape")
-        .join(names.select(F.col("file_name").alias("old_name"), F.col("shape").alias("old_shape")), "old_name", "left")
+        .join(whole.select(F.col("file").alias("old_file"), F.col("shape").alias("old_shape")), "old_file", "left")
     )
 
 
 def _compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    cols = ["file_name", "old_name", "old_path", "new_path", "change", "score"]
+    cols = ["file", "old_file", "old_path", "new_path", "change", "score", "matched"]
     for b in batches:
         rows = []
-        for f, o, x, y in zip(b["file_name"], b["old_name"], b["old_shape"], b["new_shape"], strict=True):
+        for f, o, x, y in zip(b["file"], b["old_file"], b["old_shape"], b["new_shape"], strict=True):
             old = {} if x is None else {r["path"]: int(r["types"]) for r in x}
             new = {} if y is None else {r["path"]: int(r["types"]) for r in y}
             fixed, pairs = compare(old, new)
-            rows += [(f, o, p, q, c, None) for p, q, c in fixed] + [(f, o, p, q, "renamed", s) for p, q, s in pairs]
-        yield pd.DataFrame(rows, columns=cols).astype({"score": "float64"})
+            rows += [(f, o, p, q, c, None, False) for p, q, c in fixed] + [(f, o, p, q, "renamed", s, m) for p, q, s, m in pairs]
+        yield pd.DataFrame(rows, columns=cols).astype({"score": "float64", "matched": "bool"})
 
 
 def _wanted_values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -232,70 +255,79 @@ def _wanted_values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["pair", "is_old", "path", "id", "line_no", "value"])
 
 
-def changes(raw: DataFrame) -> DataFrame:
-    """(file_name, old_path, new_path, change) of every file against the one before it in its series.
+def changes_by_series(raw: DataFrame) -> DataFrame:
+    """(f, old_path, new_path, change) of every file f (series, file_seq, file_name) against the one before it in its series.
 
     Unreadable lines are skipped; a file without readable lines has an empty
-    shape. If an id stands in several lines of a file its last value counts. A
-    renaming needs at least one id with both values, all of them equal; if
-    several pairs qualify, the larger flooding scores win, each path once.
+    shape. If an id stands in several lines of a file its last value counts.
+    Values are equal if they are the same JSON, a null member being other than
+    an absent one; numbers are compared by value. If several pairs qualify as
+    renamings, those that values confirm come before those that scores alone
+    matched, then larger scores, each path once.
     """
     tables = SharedTables(raw.sparkSession, "drift")
     raw = raw.select("series", F.col("file_seq").cast("long").alias("file_seq"), "file_name", F.col("line_no").cast("long").alias("line_no"), "record_json")
+    raw = raw.withColumn("file", _file())
     found = tables.save(
         _pairs_of_files(raw, shapes(raw)).mapInPandas(
-            _compared, "file_name string, old_name string, old_path string, new_path string, change string, score double"
+            _compared, "file string, old_file string, old_path string, new_path string, change string, score double, matched boolean"
         ),
         "compared",
     )
     pairs = found.filter("change = 'renamed'")
-    one = lambda file, path, is_old: pairs.select(F.col(file).alias("file_name"), F.struct(F.col("file_name").alias("pair"), F.col(path).alias("path"), F.lit(is_old).alias("is_old")).alias("w"))
-    wanted = one("old_name", "old_path", True).union(one("file_name", "new_path", False)).groupBy("file_name").agg(F.collect_set("w").alias("wanted"))
+    one = lambda file, path, is_old: pairs.select(F.col(file).alias("file"), F.struct(F.col("file").alias("pair"), F.col(path).alias("path"), F.lit(is_old).alias("is_old")).alias("w"))
+    wanted = one("old_file", "old_path", True).union(one("file", "new_path", False)).groupBy("file").agg(F.collect_set("w").alias("wanted"))
     values = (
-        raw.join(wanted, "file_name")
+        raw.join(wanted, "file")
         .select("record_json", "line_no", "wanted")
         .mapInPandas(_wanted_values, "pair string, is_old boolean, path string, id string, line_no long, value long")
         .groupBy("pair", "is_old", "path", "id")
         .agg(F.max_by("value", "line_no").alias("value"))
     )
     values = tables.save(values, "values")
-    old = values.filter("is_old").select(F.col("pair").alias("file_name"), F.col("path").alias("old_path"), "id", F.col("value").alias("old_value"))
-    new = values.filter("NOT is_old").select(F.col("pair").alias("file_name"), F.col("path").alias("new_path"), "id", F.col("value").alias("new_value"))
-    equal = (
-        pairs.select("file_name", "old_path", "new_path", "score")
-        .join(old, ["file_name", "old_path"])
-        .join(new, ["file_name", "new_path", "id"])
-        .groupBy("file_name", "old_path", "new_path", "score")
+    old = values.filter("is_old").select(F.col("pair").alias("file"), F.col("path").alias("old_path"), "id", F.col("value").alias("old_value"))
+    new = values.filter("NOT is_old").select(F.col("pair").alias("file"), F.col("path").alias("new_path"), "id", F.col("value").alias("new_value"))
+    compared = (
+        pairs.select("file", "old_path", "new_path")
+        .join(old, ["file", "old_path"])
+        .join(new, ["file", "new_path", "id"])
+        .groupBy("file", "old_path", "new_path")
         .agg(F.bool_and(F.col("old_value") == F.col("new_value")).alias("same"))
-        .filter("same")
     )
-    taken = equal.groupBy("file_name").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "old_path", "new_path"))).alias("c"))
+    # no id with both values: the scores decide
+    able = pairs.join(compared, ["file", "old_path", "new_path"], "left").filter(F.coalesce("same", "matched"))
+    order = F.struct(F.col("same").isNull().alias("unconfirmed"), (-F.col("score")).alias("s"), "old_path", "new_path")
+    taken = able.groupBy("file").agg(F.array_sort(F.collect_list(order)).alias("c"))
 
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for f, c in zip(b["file_name"], b["c"], strict=True):
+            for f, c in zip(b["file"], b["c"], strict=True):
                 seen: set[tuple] = set()
                 for r in c:
                     o, n = r["old_path"], r["new_path"]
                     if not {(0, o), (1, n)} & seen:
                         seen |= {(0, o), (1, n)}
                         rows.append((f, o, n))
-            yield pd.DataFrame(rows, columns=["file_name", "old_path", "new_path"])
+            yield pd.DataFrame(rows, columns=["file", "old_path", "new_path"])
 
-    renamed = tables.save(taken.mapInPandas(choose, "file_name string, old_path string, new_path string"), "renamed")
+    renamed = tables.save(taken.mapInPandas(choose, "file string, old_path string, new_path string"), "renamed")
     rest = found.filter("change <> 'renamed'")
-    gone = rest.join(renamed.select("file_name", "old_path", F.lit("removed").alias("change")), ["file_name", "old_path", "change"], "left_anti")
-    left = gone.join(renamed.select("file_name", "new_path", F.lit("added").alias("change")), ["file_name", "new_path", "change"], "left_anti")
-    cols = ["file_name", "old_path", "new_path", "change"]
-    return left.select(cols).union(renamed.withColumn("change", F.lit("renamed")).select(cols))
+    gone = rest.join(renamed.select("file", "old_path", F.lit("removed").alias("change")), ["file", "old_path", "change"], "left_anti")
+    left = gone.join(renamed.select("file", "new_path", F.lit("added").alias("change")), ["file", "new_path", "change"], "left_anti")
+    cols = ["old_path", "new_path", "change"]
+    every = left.select("file", *cols).union(renamed.withColumn("change", F.lit("renamed")).select("file", *cols))
+    return every.select(F.from_json("file", "series string, file_seq long, file_name string").alias("f"), *cols)
+
+
+def changes(raw: DataFrame) -> DataFrame:
+    """``changes_by_series`` as (file_name, old_path, new_path, change)."""
+    return changes_by_series(raw).select("f.file_name", "old_path", "new_path", "change")
 
 
 # --- the one consistent table ------------------------------------------------
 
 
-#: A schema has at most so many fields; beyond that, keys are data and the schema is refused, not cut.
-MOST_FIELDS = 20_000
 LONG, DOUBLE, BOOLEAN = 1, 2, 4
 TRUE, FALSE = {"true", "t", "yes", "y", "1"}, {"false", "f", "no", "n", "0"}
 _NUMBER = re.compile(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?", re.ASCII)
@@ -530,14 +562,15 @@ def _fitted(v, t: T.DataType, path: str, names: dict[str, str]):
 
 
 def first_names(raw: DataFrame, change: DataFrame) -> DataFrame:
-    """(file_name, names): of each file after a renaming, which path had which name in its series' first file.
+    """(series, file_seq, file_name, names): of each file after a renaming, which path had which name in its series' first file.
 
     The renamings of a series (one row each, not its records) are put in order
     and carried from file to file, their paths without marks of arrays.
     """
     files = raw.select("series", F.col("file_seq").cast("long").alias("file_seq"), "file_name").distinct()
-    per_file = change.filter("change = 'renamed'").groupBy("file_name").agg(F.array_sort(F.collect_list(F.struct("old_path", "new_path"))).alias("r"))
-    of_series = files.join(per_file, "file_name").groupBy("series").agg(F.array_sort(F.collect_list(F.struct("file_seq", "r"))).alias("steps"))
+    renamed = change.filter("change = 'renamed'").select("f.series", "f.file_seq", "f.file_name", "old_path", "new_path")
+    per_file = renamed.groupBy("series", "file_seq", "file_name").agg(F.array_sort(F.collect_list(F.struct("old_path", "new_path"))).alias("r"))
+    of_series = per_file.groupBy("series").agg(F.array_sort(F.collect_list(F.struct("file_seq", "file_name", "r"))).alias("steps"))
 
     def carry(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -550,17 +583,21 @@ def first_names(raw: DataFrame, change: DataFrame) -> DataFrame:
                         names[n] = names.pop(o, o.rpartition(".")[2])
                         for p in [p for p in names if p.startswith(o + ".")]:
                             names[n + p[len(o) :]] = names.pop(p)
-                    rows.append((s, step["file_seq"], json.dumps(names)))
-            yield pd.DataFrame(rows, columns=["series", "from_seq", "names"])
+                    rows.append((s, step["file_seq"], step["file_name"], json.dumps(names)))
+            yield pd.DataFrame(rows, columns=["series", "file_seq", "file_name", "names"])
 
-    steps = of_series.mapInPandas(carry, "series string, from_seq long, names string")
-    both = files.join(steps, ["series"]).filter("from_seq <= file_seq")
-    return both.groupBy("file_name").agg(F.max_by("names", "from_seq").alias("names"))
+    steps = of_series.mapInPandas(carry, "series string, file_seq long, file_name string, names string")
+    # each file has the names of the last step up to it
+    upto = W.partitionBy("series").orderBy("file_seq", "file_name").rowsBetween(W.unboundedPreceding, 0)
+    key = ["series", "file_seq", "file_name"]
+    return files.join(steps, key, "left").select(*key, F.last("names", ignorenulls=True).over(upto).alias("names")).filter("names IS NOT NULL")
 
 
-def unify(raw: DataFrame, change: DataFrame, schema: str | T.StructType | None = None) -> DataFrame:
+def unify(raw: DataFrame, change: DataFrame | None = None, schema: str | T.StructType | None = None) -> DataFrame:
     """One row per readable line: (raw_id, series, file_name, id, record, rest), record cast to ``schema``, by default ``schema_of`` all lines.
 
+    ``change`` is ``changes_by_series`` of the same lines, if it is known already.
+
     Renamed fields get back the name they had in the first file of their series.
     Values are cast: numbers and booleans from text and back, objects and arrays
     from the JSON text that holds them, arrays from a single element or from a
@@ -570,8 +607,8 @@ def unify(raw: DataFrame, change: DataFrame, schema: str | T.StructType | None =
     fields of an object whose names differ in case only.
     """
     tables = SharedTables(raw.sparkSession, "unify")
-    names = tables.save(first_names(raw, change), "names")
-    lines = raw.select("raw_id", "series", F.col("file_seq").cast("long").alias("file_seq"), "file_name", "record_json").join(names, "file_name", "left")
+    names = tables.save(first_names(raw, changes_by_series(raw) if change is None else change), "names")
+    lines = raw.select("raw_id", "series", F.col("file_seq").cast("long").alias("file_seq"), "file_name", "record_json").join(names, ["series", "file_seq", "file_name"], "left")
     t = schema_of(lines) if schema is None else schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
 
     def rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -52,8 +52,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_table(spark: SparkSession, d: str) -> DataFrame:
-    raw = _read(spark, d, "training_index_raw")
-    return drift.unify(raw, drift.changes(raw))
+    return drift.unify(_read(spark, d, "training_index_raw"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

@@ -29,6 +29,34 @@ def test_without_a_common_id_nothing_is_renamed(spark):
     assert got(raw(spark, ("s", 1, [{"id": "1", "a": 1}]), ("s", 2, [{"id": "2", "b": 1}]))) == [("s2", "", "b", "added"), ("s2", "a", "", "removed")]
 
 
+def test_without_a_common_id_the_scores_decide(spark):
+    a = [{"id": "1", "epithet": {"confidence": 0.5, "rule": "x"}, "n": 1}]
+    b = [{"id": "2", "epithet": {"confidence_score": 0.7, "rule": "y"}, "zz": "t"}]
+    assert got(raw(spark, ("s", 1, a), ("s", 2, b))) == [("s2", "", "zz", "added"), ("s2", "epithet.confidence", "epithet.confidence_score", "renamed"), ("s2", "n", "", "removed")]
+    # values that differ outweigh the scores
+    b[0]["id"] = "1"
+    assert ("s2", "epithet.confidence", "", "removed") in got(raw(spark, ("s", 1, a), ("s", 2, b)))
+
+
+def test_scores_decide_between_equal_values(spark):
+    a = [{"id": "1", "conf": 1, "score": 1}]
+    b = [{"id": "1", "score_value": 1}]
+    assert got(raw(spark, ("s", 1, a), ("s", 2, b))) == [("s2", "conf", "", "removed"), ("s2", "score", "score_value", "renamed")]
+
+
+def test_a_null_member_is_not_an_absent_one(spark):
+    a = [{"id": "1", "o": {"p": 1, "q": None}}]
+    assert got(raw(spark, ("s", 1, a), ("s", 2, [{"id": "1", "n": {"p": 1}}]))) == [("s2", "", "n", "added"), ("s2", "o", "", "removed")]
+    assert got(raw(spark, ("s", 1, a), ("s", 2, [{"id": "1", "n": {"q": None, "p": 1.0}}]))) == [("s2", "o", "n", "renamed")]
+
+
+def test_a_file_name_in_two_series(spark):
+    rows = [(i, s, "f.jsonl" if q == 2 else f"{s}{q}", q, 0, json.dumps(r), "", "") for i, (s, q, r) in enumerate([("s", 1, {"id": "1", "a": 1}), ("s", 2, {"id": "1", "b": 1}), ("t", 1, {"id": "1", "a": 2}), ("t", 2, {"id": "1", "a": 2})])]
+    df = spark.createDataFrame(rows, RAW)
+    assert got(df) == [("f.jsonl", "a", "b", "renamed")]
+    assert sorted((r.series, r.record.a) for r in D.unify(df).collect()) == [("s", 1), ("s", 1), ("t", 2), ("t", 2)]
+
+
 def test_nothing_below_a_reported_path(spark):
     a = [{"id": "1", "o": {"p": 1, "q": [{"r": 1}]}, "t": {"u": 1}}]
     b = [{"id": "1", "n": {"p": 1, "q": [{"r": 1}]}, "t": "text"}]
@@ -74,13 +102,13 @@ def test_one_table(spark):
     b = [{"id": "1", "x": {"new": 5}}, {"id": "2", "x": {"new": 7}}]
     c = [{"id": "2", "y": {"new": 7}}, {"id": "4", "y": {"new": "seven"}}]
     df = raw(spark, ("s", 1, a), ("s", 2, b), ("s", 3, c))
-    u = D.unify(df, D.changes(df), "x struct<old: int>")
+    u = D.unify(df, None, "x struct<old: int>")
     assert sorted((r.file_name, r.id, r.record.x.old) for r in u.collect()) == [("s1", "1", 5), ("s2", "1", 5), ("s2", "2", 7), ("s3", "2", 7), ("s3", "4", None)]
 
 
 def table(spark, *files):
     df = raw(spark, *files)
-    return D.unify(df, D.changes(df)).orderBy("raw_id")
+    return D.unify(df).orderBy("raw_id")
 
 
 def test_retyped_values_are_cast(spark):
@@ -94,7 +122,7 @@ def test_retyped_values_are_cast(spark):
         (95853, 0.5, 7, True, "4.2", "1"), (95853, 0.07214, 1352, False, "3.0", "one"), (4, 0.001, 8, True, "3.1", "two"),
     ]
     df = raw(spark, ("s", 1, a), ("s", 2, b))
-    given = D.unify(df, D.changes(df), "page int, c struct<confidence: double, width: int>, mixed int").orderBy("raw_id").collect()
+    given = D.unify(df, None, "page int, c struct<confidence: double, width: int>, mixed int").orderBy("raw_id").collect()
     assert [(r.record.page, r.record.c.confidence, r.record.c.width, r.record.mixed) for r in given] == [(95853, 0.5, 7, 1), (95853, 0.07214, 1352, None), (4, 0.001, 8, None)]
 
 
