@@ -14,7 +14,7 @@ def words(n):
 def run(spark, docs, items=ITEMS):
     d = spark.createDataFrame([(i, t, "c") for i, t in docs], "doc_id long, text string, item_id string")
     e = spark.createDataFrame([(i, t, "c") for i, t in items], "item_id int, text string, doc_id string")
-    return sorted(tuple(r) for r in L.find(d, e).collect())
+    return sorted((r.doc_id, r.item_id) for r in L.find(d, e).collect())
 
 
 def planted(item, n, change=(), at=5):
@@ -56,10 +56,53 @@ def test_very_long_text(spark):
 
 
 def test_items_in_several_groups(spark, monkeypatch):
-    monkeypatch.setattr(L, "GROUP", 40)
+    monkeypatch.setattr(L, "GROUP_CHARS", 8000)
     assert run(spark, [(1, planted(3, 25)), (2, planted(77, 25)), (3, planted(149, 25))]) == [(1, 3), (2, 77), (3, 149)]
 
 
+def test_rows_of_one_item_in_several_groups(spark, monkeypatch):
+    monkeypatch.setattr(L, "GROUP_CHARS", 100)
+    items = [(1, dict(ITEMS)[3]), (1, dict(ITEMS)[4]), (2, dict(ITEMS)[5])]
+    assert run(spark, [(1, planted(3, 25)), (2, planted(4, 25)), (3, planted(3, 25) + planted(4, 25))], items) == [(1, 1), (2, 1), (3, 1)]
+
+
+def test_altered_words_at_the_ends():
+    w = dict(ITEMS)[12].split()
+    item = ["".join(RND.choice("abcdefgh") for _ in range(6)) for _ in range(40)]
+    for first, last, want in ((item[10][:-1] + "z", item[29], True), (item[10], item[29][1:], True), (f"{item[10][:3]} {item[10][3:]}", item[29], True), (item[10], f"{item[29][:2]} {item[29][2:]}", True), ("zzzzzz", item[29], False), (item[10], "zzzzzz", False)):
+        doc = w + f"{first} {' '.join(item[11:29])} {last}".split() + w
+        assert L.holds(item, doc) is want, (first, last)
+        assert not want or L.Index([(0, item)]).retrieve(doc)
+    assert not L.misspelt("abcd", "abcd") and L.misspelt("abdc", "abcd") and L.misspelt("abc", "abcd") and L.misspelt("xabcd", "abcd") and not L.misspelt("ab", "ac")
+
+
+def test_items_that_repeat_themselves():
+    for text in ("spore grew " * 30, "a b c a b d " * 12, "same " * 40):
+        item = text.split()
+        doc = words(30) + item[:9] + ["zzz"] + item[10:15] + ["qqq"] + item[16:24] + words(30)
+        assert L.holds(item, doc) and L.Index([(0, words(50)), (1, item)]).retrieve(doc).keys() == {1}
+
+
+def test_wand_equals_a_sum_over_all():
+    items = [(i, [RND.choice("abcd") for _ in range(RND.randint(20, 60))]) for i in range(90)]
+    index = L.Index(items)
+    for _ in range(200):
+        terms = RND.sample(range(len(index.terms)), RND.randint(1, 30))
+        score = {}
+        for t in terms:
+            for k, x in zip(index.docs[t], index.imps[t], strict=True):
+                score[k] = score.get(k, 0) + x
+        assert index.wand(terms) == sorted(k for k, x in score.items() if x >= 0.9999)
+
+
+def test_answers(spark):
+    d = spark.createDataFrame([(1, planted(3, 30) + " It is Mucor, Alba!"), (2, planted(3, 30)), (3, planted(4, 30) + " mucor alba")], "doc_id long, text string")
+    e = spark.createDataFrame([(3, dict(ITEMS)[3], "mucor alba", "s"), (4, dict(ITEMS)[4], None, "s"), (5, "too short", "x", "t"), (6, dict(ITEMS)[6], "x", "t")], "item_id int, text string, answer string, suite string")
+    found = L.find(d, e)
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 3, True), (2, 3, False), (3, 4, False)]
+    assert sorted(tuple(r) for r in L.report(found, e).collect()) == [(3, "s", 45, 2, 1), (4, "s", 45, 1, 0), (5, "t", 2, None, None), (6, "t", 45, 0, 0)]
+
+
 def test_nothing_is_lost_before_verification():
     index = L.Index([(i, t.split()) for i, t in ITEMS])
     for item in range(1, 60):
