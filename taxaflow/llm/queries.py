@@ -33,11 +33,11 @@ def p2_unmatched(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return ocr.noise(_read(spark, d, "training_index").select("rec_id", "caption_raw"))
+    return ocr.noise(_read(spark, d, "training_index").select("rec_id", "paper", "page", "caption_raw"))
 
 
 def p7_text(spark: SparkSession, d: str) -> DataFrame:
-    return ocr.repair(_read(spark, d, "training_index").select("rec_id", "caption_raw")).select("rec_id", "text")
+    return ocr.repair(_read(spark, d, "training_index").select("rec_id", "paper", "page", "caption_raw")).select("rec_id", "text")
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:

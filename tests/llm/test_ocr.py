@@ -54,6 +54,47 @@ def test_headers_and_page_numbers(read):
         assert read(f"the share\n{p}\ngrew") == ("the share grew", ["page_number"]), p
 
 
+def test_joint_readings():
+    words = "aquatic hyphomycetes conidia of the spores four armed overnight".split()
+    d = ocr.Decoder(dict.fromkeys(words, 500), 10_000_000)
+    read = lambda t: (lambda r: (r[0], sorted(r[1])))(d.caption(t))
+    assert read("aquatichyphomycetcs") == ("aquatic hyphomycetes", ["char_error"])
+    assert read("the hypho mycetcs") == ("the hyphomycetes", ["char_error"])
+    assert read("hyph0 rnyc€tcs of") == ("hyphomycetes of", ["char_error"])
+    assert read("hyphorny-\ncetes of") == ("hyphomycetes of", ["char_error", "hyphen_break"])
+    assert read("hyphor-\nnycetes of") == ("hyphomycetes of", ["char_error", "hyphen_break"])
+    assert read("conidiaofaquatic") == ("conidia of aquatic", [])
+    long = "".join(["aquatic", "hyphomycetes", "conidia"] * 12)
+    assert len(long) > 300 and read(long)[0].split() == ["aquatic", "hyphomycetes", "conidia"] * 12
+    assert read("(aqua tic) spores, over night.")[0] == "(aquatic) spores, overnight."
+    assert read("unknovvn wrds stay")[0] == "unknovvn wrds stay"
+
+
+def test_roman_page_numbers(read):
+    for p in ("iv", "xii", " xxxix ", "lxiv"):
+        assert read(f"the share\n{p}\ngrew") == ("the share grew", ["page_number"]), p
+    assert read("the share\nc\ngrew") == ("the share grew", [])  # a label
+
+
+def test_headers_by_repetition(spark):
+    heads = ["Aquatic Fungi of Brazil", "MYCOLOGIA", "Fungal Biology Reviews", "Mycological Research 12", "Studies in Mycology (2003)"]
+    rows, n = [], 0
+    for i, h in enumerate(heads):
+        for page in range(4):
+            n += 1
+            rows.append((n, f"paper{i}", page, f"{h}\nThe spores of stream {'abcd'[page]} grew\nslowly in rain.", "x"))
+    # a line of the text that repeats is none, nor one on too few pages
+    for page in range(5):
+        rows.append((100 + page, "paper9", page, f"Rare in streams\nnear place {'abcde'[page]}", "x"))
+    rows += [(200 + i, "paper8", i % 2, f"Folia Fungorum\nThe rain {'ab'[i % 2]}", "x") for i in range(6)]
+    rows += [(300, None, 1, "MYCOLOGIA\nThe rain", "x"), (301, "paper0", None, "MYCOLOGIA\nThe rain", "x")]
+    df = spark.createDataFrame(rows, "rec_id long, paper string, page int, caption_raw string, line string")
+    assert sorted(tuple(r) for r in ocr.noise(df).collect()) == [(i, "running_header") for i in range(1, n + 1)]
+    text = {r.rec_id: r.text for r in ocr.repair(df).collect()}
+    assert text[1] == "The spores of stream a grew slowly in rain." and text[100] == "Rare in streams near place a"
+    assert ocr.noise(df.limit(0)).count() == 0
+
+
 def test_labels_are_no_noise(read):
     for p in ("A–C", "(A)", "a–f", "B", "A, B.", "1–4", "Bars = 20 µm."):
         assert read(f"the share\n{p}\ngrew") == ("the share grew", []), p
