@@ -96,6 +96,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
+def wide(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` in as many partitions as shuffles have, or cores there are, even if it is small."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *by)
+
+
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """``df`` with each row's place in ``order``, which must leave no ties, from 0 on in column ``name``.
 
