@@ -24,16 +24,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taxaflow.runtime import SharedTables, small_side
+from taxaflow.runtime import SharedTables, small_side, wide
 
 EDITS, SHORTEST, ABBREVIATION = 2, 6, 5
 #: Shorter tokens than SHORTEST may have one edit from so many letters on, below that none.
 ONE_EDIT = 4
+#: The fewest letters of what may be an epithet.
+EPITHET = 3
 #: Accented letters and their plain forms (fixed values).
 ACCENTED = "àáâãäåāăąçćčďèéêëēęěìíîïīłñńňòóôõöøōőŕřśšťùúûüūůűýÿźžż"
 PLAIN = "aaaaaaaaacccdeeeeeeeiiiiilnnnooooooooorrsstuuuuuuuyyzzz"
-#: Words beside a name that name no species (fixed values).
-REMARKS = ("teleomorph", "anamorph", "drawing", "figure", "plate", "conidia", "conidium", "species", "sensu", "auctorum", "culture", "isolate", "strain", "genus", "novum", "stage", "photo", "slide", "indet", "indeterminada", "indeterminado", "indeterminata", "indeterminate", "undetermined", "unidentified")
+#: Words and abbreviations beside a name that name no species (fixed values).
+REMARKS = ("teleomorph", "anamorph", "drawing", "figure", "plate", "conidia", "conidium", "species", "sensu", "auctorum", "culture", "isolate", "strain", "genus", "novum", "stage", "photo", "slide", "indet", "indeterminada", "indeterminado", "indeterminata", "indeterminate", "undetermined", "unidentified",
+           "aff", "agg", "and", "auct", "comb", "complex", "cult", "det", "fig", "figs", "gen", "group", "ined", "leg", "nom", "non", "nov", "nud", "sect", "sens", "spp", "ssp", "stat", "str", "subg", "subsp", "var")
 
 
 def folded(c: Column) -> Column:
@@ -142,13 +145,16 @@ def map_names(names: DataFrame, taxa: DataFrame) -> DataFrame:
     ones = F.transform("toks", lambda x, i: F.struct(i.alias("at"), F.lit(1).alias("span"), x["t"].alias("token")))
     spans = d.select("name", F.explode(F.concat(ones, F.coalesce(pairs, F.array_except(ones, ones)))).alias("s")).select("name", "s.*")
     spans = spans.filter((F.col("span") == 1) | (F.length("token") >= SHORTEST))
-    hits = _near(spans.select("token").distinct(), vocab.select("word").distinct())
-    hits = tables.save(hits.join(small_side(vocab), "word").select("token", "word", "part", "idf", "edits"), "hits")
+    # a token makes some dozens of keys: few rows, much work for each
+    tokens = tables.save(wide(spans.select("token").distinct(), "token"), "tokens")
+    hits = _near(tokens, vocab.select("word").distinct())
+    hits = tables.save(hits.join(small_side(vocab), "word").select("token", "word", "part", "idf", "edits"), "hits").hint("merge")
     sim = 1 - F.col("edits") / F.length("word")
     found = spans.join(hits, "token").select("name", "at", "span", "word", "part", "idf", sim.alias("sim"))
     # of each word, its best place in the name
     found = found.groupBy("name", "word", "part").agg(F.max(F.struct("sim", (-F.col("span")).alias("s"), (-F.col("at")).alias("a"), "idf")).alias("m")).select("name", "word", "part", "m.sim", "m.idf", (-F.col("m.a")).alias("at"), (-F.col("m.s")).alias("span"))
-    found = tables.save(found, "found")
+    # what grows with the names is joined by shuffles at any size; only the reference side is broadcast, if it is small
+    found, d = tables.save(found, "found").hint("merge"), d.hint("merge")
     part = lambda p: found.filter(F.col("part") == p)
     species = small_side(taxa.filter("e IS NOT NULL AND e <> ''").select("taxon_id", "g", "e", F.concat("g", "e").alias("j")))
     genera = part("genus").select("name", F.col("word").alias("g"), F.col("sim").alias("sim_g"), F.col("idf").alias("idf_g"))
@@ -175,7 +181,7 @@ def map_names(names: DataFrame, taxa: DataFrame) -> DataFrame:
     # a genus alone: no other token that looks like an epithet
     rest = F.filter(
         "toks",
-        lambda t, i: (F.length(t["t"]) >= 5) & t["t"].rlike(r"^\p{L}+$") & ~t["t"].isin(*REMARKS) & ~((i >= F.col("at")) & (i < F.col("at") + F.col("span"))) & (~t["cap"] | (i < F.col("at"))),
+        lambda t, i: (F.length(t["t"]) >= EPITHET) & t["t"].rlike(r"^\p{L}+$") & ~t["t"].isin(*REMARKS) & ~((i >= F.col("at")) & (i < F.col("at") + F.col("span"))) & (~t["cap"] | (i < F.col("at"))),
     )
     alone = (
         part("genus")
