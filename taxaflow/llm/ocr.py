@@ -23,10 +23,11 @@ entries at any size of input, so that it can be broadcast.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -280,8 +281,8 @@ class Decoder:
                 w = re.sub(rf"(?<=[^\W\d_]){re.escape(read)}|{re.escape(read)}(?=[^\W\d_])", printed, w)
         return w
 
-    def caption(self, text: str, headers: frozenset = frozenset()) -> tuple[str, frozenset]:
-        """(repaired text, kinds of noise) of a caption; ``headers`` are keys of lines known as running headers of its paper."""
+    def caption(self, text: str, headed: Callable[[str], bool] | None = None) -> tuple[str, frozenset]:
+        """(repaired text, kinds of noise) of a caption; ``headed`` tells of a ``header_key`` whether it is a running header of its paper."""
         kinds: set[str] = set()
         lines = _NEWLINE.split(text)
         if len(lines) == 1:
@@ -290,7 +291,7 @@ class Decoder:
             body, gaps, gap = [], [], False
             for line in lines:
                 what, number = role(line)
-                if what == "body" and headers and header_key(line) in headers:
+                if what == "body" and headed and headed(header_key(line)):
                     s = line.strip()
                     what, number = "header", bool(_FRONT.match(s) or _BACK.search(s))
                 if what == "header":
@@ -341,6 +342,10 @@ def header_key(line: str) -> str:
     return re.sub(r"[\W_]+", " ", line.lower()).strip(" 0123456789")
 
 
+def line_hash(paper: str, key: str) -> int:
+    return int.from_bytes(hashlib.blake2b(f"{paper}\0{key}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
 def places(text: str) -> list[tuple[str, bool]]:
     """(key, whether it interrupts) of the lines of a caption that could be running headers.
 
@@ -417,29 +422,29 @@ def lexicon(captions: DataFrame, column: str = "caption_raw") -> tuple[dict[str,
 
 
 def running_headers(records: DataFrame, key: str, column: str) -> DataFrame:
-    """(key, headers): the keys of lines of each record that repeat as running headers over the pages of its paper.
+    """(key, headers): hashes of the lines of each record that repeat as running headers over the pages of its paper.
 
-    Lines are counted by (paper, line), pre-aggregated by page, so a paper with
-    many records meets in one task as a row per distinct line and page at most.
+    Lines are counted by the hash of paper and line, pre-aggregated by page, so
+    a paper with many records is spread over its lines.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(r, p, g, k, i) for r, p, g, t in zip(b[key], b["paper"], b["page"], b["t"], strict=True) for k, i in places(t)]
-            yield pd.DataFrame(rows, columns=[key, "paper", "page", "line", "interrupts"])
+            rows = [(r, g, line_hash(p, k), i) for r, p, g, t in zip(b[key], b["paper"], b["page"], b["t"], strict=True) for k, i in places(t)]
+            yield pd.DataFrame(rows, columns=[key, "page", "line", "interrupts"])
 
     many = records.filter(F.col("paper").isNotNull() & F.col("page").isNotNull() & F.col(column).rlike("[\n\r\u0085\u2028\u2029]"))
-    lines = many.select(key, F.col("paper").cast("string"), F.col("page").cast("string"), F.col(column).alias("t"))
-    lines = lines.mapInPandas(run, f"{key} long, paper string, page string, line string, interrupts boolean")
-    lines = SharedTables(records.sparkSession, "ocr").save(lines.select(key, "paper", "page", "line", "interrupts"), "lines")
+    lines = many.select(key, F.col("paper").cast("string"), F.xxhash64("page").alias("page"), F.col(column).alias("t"))
+    lines = spread(lines).mapInPandas(run, f"{key} long, page long, line long, interrupts boolean")
+    lines = SharedTables(records.sparkSession, "ocr").save(lines, "lines")
     heads = (
-        lines.groupBy("paper", "line", "page")
+        lines.groupBy("line", "page")
         .agg(F.count("*").alias("n"), F.count_if("interrupts").alias("m"))
-        .groupBy("paper", "line")
+        .groupBy("line")
         .agg(F.count("*").alias("pages"), F.sum("n").alias("n"), F.sum("m").alias("m"))
         .filter((F.col("pages") >= PAGES) & (F.col("m") >= INTERRUPTS * F.col("n")))
     )
-    return lines.join(heads.select("paper", "line"), ["paper", "line"], "left_semi").groupBy(key).agg(F.collect_set("line").alias("headers"))
+    return lines.join(heads.select("line"), "line", "left_semi").groupBy(key).agg(F.collect_set("line").alias("headers"))
 
 
 def repair(records: DataFrame, key: str = "rec_id", column: str = "caption_raw") -> DataFrame:
@@ -458,14 +463,15 @@ def repair(records: DataFrame, key: str = "rec_id", column: str = "caption_raw")
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         decoder = Decoder(*shared.value)
         for b in batches:
-            got = [decoder.caption(t, frozenset() if h is None else frozenset(h)) for t, h in zip(b["t"], b["headers"], strict=True)]
+            got = [decoder.caption(t, None if h is None else lambda k, p=p, h=frozenset(h): line_hash(p, k) in h) for t, p, h in zip(b["t"], b["paper"], b["headers"], strict=True)]
             yield pd.DataFrame({key: b[key], "text": [g[0] for g in got], "kinds": [sorted(g[1]) for g in got]})
 
-    rows = records.select(key, F.col(column).alias("t")).filter("t IS NOT NULL")
-    if {"paper", "page"} <= set(records.columns):
-        rows = rows.join(running_headers(records, key, column), key, "left").select(key, "t", "headers")
+    paged = {"paper", "page"} <= set(records.columns)
+    rows = records.select(key, F.col(column).alias("t"), (F.col("paper") if paged else F.lit(None)).cast("string").alias("paper")).filter("t IS NOT NULL")
+    if paged:
+        rows = rows.join(running_headers(records, key, column), key, "left").select(key, "t", "paper", "headers")
     else:
-        rows = rows.withColumn("headers", F.lit(None).cast("array<string>"))
+        rows = rows.withColumn("headers", F.lit(None).cast("array<long>"))
     return spread(rows).mapInPandas(run, f"{key} long, text string, kinds array<string>")
 
 
