@@ -1,11 +1,14 @@
 """Deeply nested records as related flat tables, by Merkle identities of their objects.
 
 Every object (a struct column, or a struct in an array, at any depth) is put
-into a canonical text bottom-up: its own values in schema order, and in place of
-each array of objects the identities of that array's elements in order. The
-identity of an object is a hash of that text, so equal objects anywhere have
-equal identities, and are stored once. Each occurrence is kept in a bridge row
-with the identity of its parent and its ordinals.
+into a canonical text bottom-up: the names, types and values of its non-null
+fields in the order of their names, and in place of each array of objects the
+identities of that array's elements in order. The identity of an object is a
+hash of that text. So equal objects have equal identities wherever they stand
+and whatever else their schema allows, and are stored once. Each occurrence is
+kept in a bridge row with the identity of its parent and its ordinals.
+``flat_table`` gives the objects of one level as a table of typed columns, keyed
+by the record and the ordinals, which are the keys of its parent and one more.
 
 An object without a non-null value at any depth (null, ``{}``, an empty array,
 arrays of nulls or of such objects) has no identity, and no rows; its place in
@@ -34,6 +37,13 @@ def _child_arrays(t: T.StructType, at: tuple = ()) -> list[tuple[tuple, T.Struct
     return out
 
 
+def _tag(t: T.DataType) -> str:
+    """The type of a value in its canonical text: widths of numbers don't count."""
+    if isinstance(t, T.IntegralType):
+        return "int"
+    return "float" if isinstance(t, (T.FractionalType, T.DecimalType)) else t.typeName()
+
+
 def _canonical(c: Column, t: T.DataType, at: tuple = (), nodes: dict | None = None) -> Column:
     """Canonical text of a value, null if it holds no non-null value.
 
@@ -42,7 +52,7 @@ def _canonical(c: Column, t: T.DataType, at: tuple = (), nodes: dict | None = No
     if isinstance(t, T.StructType):
         if not t.fields:
             return F.lit(None).cast("string")
-        parts = [_canonical(c.getField(f.name), f.dataType, (*at, f.name), nodes).alias(f"f{i}") for i, f in enumerate(t.fields)]
+        parts = [_canonical(c.getField(f.name), f.dataType, (*at, f.name), nodes).alias(f"{f.name}:{_tag(f.dataType)}") for f in sorted(t.fields, key=lambda f: f.name)]
         return F.when(F.coalesce(*parts).isNotNull(), F.to_json(F.struct(*parts)))
     if isinstance(t, T.ArrayType):
         items = nodes[at] if nodes and at in nodes else F.transform(c, lambda x: _canonical(x, t.elementType))
@@ -141,6 +151,71 @@ def bridge(df: DataFrame, key: str, columns: list[str], labels: dict[str, str] |
 
 
 def objects(df: DataFrame, key: str, columns: list[str], labels: dict[str, str] | None = None) -> DataFrame:
-    """Each distinct object once: child, node, content, and in how many places it stands."""
+    """Each distinct object once: node, content, the levels (``child``) and the number of places it stands in."""
     o = occurrences(df, key, columns, labels)
-    return o.groupBy("child", "node").agg(F.min("content").alias("content"), F.count("*").alias("places"))
+    return o.groupBy("node").agg(F.min("content").alias("content"), F.array_sort(F.collect_set("child")).alias("children"), F.count("*").alias("places"))
+
+
+def _holds(c: Column, t: T.DataType) -> Column:
+    """Whether a value holds a non-null value at any depth."""
+    if isinstance(t, T.StructType):
+        out = F.lit(False)
+        for f in t.fields:
+            out = out | _holds(c.getField(f.name), f.dataType)
+        return out
+    if isinstance(t, T.ArrayType):
+        return F.coalesce(F.exists(c, lambda x: _holds(x, t.elementType)), F.lit(False))
+    return F.coalesce(F.size(c) > 0, F.lit(False)) if isinstance(t, T.MapType) else c.isNotNull()
+
+
+def _values(c: Column, t: T.StructType, at: str = "") -> list[tuple[str, Column]]:
+    """(name, value) of the fields of an object but arrays of objects; names of objects within it go before those of their fields."""
+    out = []
+    for f in t.fields:
+        name, v = f"{at}{f.name}", c.getField(f.name)
+        if isinstance(f.dataType, T.StructType):
+            out += _values(v, f.dataType, f"{name}_")
+        elif not (isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType)):
+            out.append((name, v))
+    return out
+
+
+def flat_table(df: DataFrame, key: str, path: str, identities: bool = False) -> DataFrame:
+    """The objects at ``path`` (``resolution.candidates[]``) as rows: key, one position per array on the way, typed fields.
+
+    The positions are called ``<array>_pos`` and count from 1 over all elements.
+    With ``identities`` come ``node`` and ``parent`` as in ``bridge``. A field
+    whose name is taken gets ``_`` behind it. Objects that hold nothing have no
+    row. One narrow pass; only the fields at the path and on the way are read.
+    """
+    first, *arrays = path.split("[]")[:-1] if path.endswith("[]") else [path]
+    steps = first.split(".")
+    name, inner = steps[0], steps[1:]
+    out = df.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{name}`").alias("_c"), *([F.lit(None).cast("string").alias("_node")] if identities else []))
+    t: T.DataType = df.schema[name].dataType
+    keys, levels = [], [inner] + [a.lstrip(".").split(".") for a in arrays]
+    for i, names in enumerate(levels):
+        if i or inner:
+            c, u = F.col("_c"), t
+            for x in names:
+                c, u = c.getField(x), u[x].dataType
+            pos = f"{names[-1]}_pos"
+            carried = [F.col("_key"), *(F.col(k) for k in keys)]
+            if identities:
+                out = out.withColumn("_node", let(_tree(F.col("_c"), t), lambda x: x["node"]))
+                carried.append(F.col("_node"))
+            if isinstance(u, T.ArrayType):
+                out = out.select(*carried, F.posexplode(c).alias(pos, "_c")).withColumn(pos, F.col(pos) + 1)
+                keys.append(pos)
+                u = u.elementType
+            else:
+                out = out.select(*carried, c.alias("_c"))
+            t = u
+    taken, cols = {key, *keys, *(("node", "parent") if identities else ())}, []
+    for n, v in _values(F.col("_c"), t):
+        while n in taken:
+            n += "_"
+        taken.add(n)
+        cols.append(v.alias(n))
+    ids = [let(_tree(F.col("_c"), t), lambda x: x["node"]).alias("node"), F.col("_node").alias("parent")] if identities else []
+    return out.filter(_holds(F.col("_c"), t)).select(F.col("_key").alias(key), *keys, *ids, *cols)

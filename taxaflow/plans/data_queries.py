@@ -47,6 +47,14 @@ def p4_objects(spark: SparkSession, d: str) -> DataFrame:
     return nested.objects(_read(spark, d, "training_index"), "rec_id", NESTED, LABELS)
 
 
+def _level(path: str):
+    return lambda spark, d: nested.flat_table(_read(spark, d, "training_index"), "rec_id", path)
+
+
+p4_classifier, p4_resolution = _level("classifier"), _level("resolution")
+p4_candidates, p4_blocks = _level("resolution.candidates[]"), _level("resolution.candidates[].blocks[]")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return drift.changes(_read(spark, d, "training_index_raw"))
 
@@ -75,7 +83,8 @@ def p6_cycles(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.cycles(links, hierarchy.hierarchy(links, paths=False))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_report, p3_history, p4_found, p4_bridge, p4_objects, p5_found, p5_table, p6_found, p6_paths, p6_descendants, p6_cycles)}
+QUERIES = {"p4_classifier": p4_classifier, "p4_resolution": p4_resolution, "p4_candidates": p4_candidates, "p4_blocks": p4_blocks}
+QUERIES |= {f.__name__: f for f in (p3_found, p3_report, p3_history, p4_found, p4_bridge, p4_objects, p5_found, p5_table, p6_found, p6_paths, p6_descendants, p6_cycles)}
 
 _P3 = """WITH r AS (SELECT edge_id, 'start' AS endpoint, start_node_id AS k, loaded_at AS t FROM aquatic_hyphomycetes_graph
   UNION ALL SELECT edge_id, 'end', end_node_id, loaded_at FROM aquatic_hyphomycetes_graph),
@@ -96,12 +105,13 @@ t AS (SELECT DISTINCT parent_id AS node_id, parent_id AS root_id, 0 AS depth, pa
 n AS (SELECT node_id, root_id, depth, path FROM t
   UNION ALL SELECT node_id, '', -1, NULL FROM l WHERE node_id NOT IN (SELECT node_id FROM t))
 """
-_P4 = """WITH c AS (SELECT rec_id, resolution, classifier, unnest(resolution.candidates) AS c, generate_subscripts(resolution.candidates, 1) AS cp FROM training_index),
+_P4_LEVELS = """WITH c AS (SELECT rec_id, resolution, classifier, unnest(resolution.candidates) AS c, generate_subscripts(resolution.candidates, 1) AS cp FROM training_index),
 b AS (SELECT rec_id, cp, unnest(c.blocks) AS b, generate_subscripts(c.blocks, 1) AS bp FROM c),
 bf AS (SELECT rec_id, cp, bp FROM b WHERE coalesce(b.block_no::VARCHAR, b.bbox.x0::VARCHAR, b.bbox.y0::VARCHAR, b.bbox.x1::VARCHAR, b.bbox.y1::VARCHAR, b.text) IS NOT NULL),
 cf AS (SELECT rec_id, cp FROM c WHERE coalesce(c.binomial, c.strategy, c.confidence::VARCHAR, c.dist::VARCHAR, c.note) IS NOT NULL
-  UNION SELECT rec_id, cp FROM bf),
-rf AS (SELECT rec_id FROM training_index WHERE coalesce(resolution.binomial, resolution.genus, resolution.epithet, resolution.strategy, resolution.confidence::VARCHAR) IS NOT NULL
+  UNION SELECT rec_id, cp FROM bf)
+"""
+_P4 = _P4_LEVELS + """, rf AS (SELECT rec_id FROM training_index WHERE coalesce(resolution.binomial, resolution.genus, resolution.epithet, resolution.strategy, resolution.confidence::VARCHAR) IS NOT NULL
   UNION SELECT rec_id FROM cf)
 SELECT rec_id, 'classifier' AS child, 0 AS cand_pos, 0 AS block_pos FROM training_index WHERE coalesce(classifier.image_type, classifier.confidence::VARCHAR,
   classifier.sat_mean::VARCHAR, classifier.white_bg_ratio::VARCHAR, classifier.edge_density::VARCHAR, classifier.hist_entropy::VARCHAR,
@@ -114,6 +124,14 @@ SQL = {
     "p3_found": _P3 + "SELECT * FROM o",
     "p3_report": _P3 + "SELECT endpoint, load_month, kind, count(*) AS orphans FROM o GROUP BY ALL",
     "p4_found": _P4,
+    "p4_classifier": """SELECT rec_id, classifier.* FROM training_index WHERE coalesce(classifier.image_type, classifier.confidence::VARCHAR, classifier.sat_mean::VARCHAR,
+  classifier.white_bg_ratio::VARCHAR, classifier.edge_density::VARCHAR, classifier.hist_entropy::VARCHAR, classifier.blue_dominance::VARCHAR,
+  classifier.width::VARCHAR, classifier.height::VARCHAR, classifier.rule_fired) IS NOT NULL""",
+    "p4_resolution": _P4_LEVELS + """SELECT rec_id, r.binomial, r.genus, r.epithet, r.strategy, r.confidence FROM (SELECT rec_id, resolution AS r FROM training_index)
+  WHERE coalesce(r.binomial, r.genus, r.epithet, r.strategy, r.confidence::VARCHAR) IS NOT NULL OR rec_id IN (SELECT rec_id FROM cf)""",
+    "p4_candidates": _P4_LEVELS + """SELECT rec_id, cp::INT AS candidates_pos, c.binomial, c.strategy, c.confidence, c.dist, c.note FROM c JOIN cf USING (rec_id, cp)""",
+    "p4_blocks": _P4_LEVELS + """SELECT rec_id, cp::INT AS candidates_pos, bp::INT AS blocks_pos, b.block_no, b.bbox.x0 AS bbox_x0, b.bbox.y0 AS bbox_y0, b.bbox.x1 AS bbox_x1, b.bbox.y1 AS bbox_y1, b.text
+  FROM b JOIN bf USING (rec_id, cp, bp)""",
     "p6_found": _LINKS + "SELECT node_id, root_id, depth FROM n",
     "p6_paths": _LINKS + "SELECT node_id, root_id, depth, path FROM n",
     "p6_cycles": _LINKS
