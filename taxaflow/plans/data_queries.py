@@ -15,21 +15,21 @@ def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def _orphans(spark: SparkSession, d: str, snapshots: bool = False) -> orphans.OrphanState:
+def _references(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     refs = orphans.references(_read(spark, d, "aquatic_hyphomycetes_graph"))
-    return orphans.track(refs, orphans.versions(_read(spark, d, "graph_nodes"), _read(spark, d, "graph_terms")), snapshots=snapshots)
+    return refs, orphans.versions(_read(spark, d, "graph_nodes"), _read(spark, d, "graph_terms"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return _orphans(spark, d).orphans().select("edge_id", "endpoint", "kind", F.date_format("t", "yyyy-MM").alias("load_month"))
+    return orphans.track(*_references(spark, d)).orphans().select("edge_id", "endpoint", "kind", F.date_format("t", "yyyy-MM").alias("load_month"))
 
 
 def p3_report(spark: SparkSession, d: str) -> DataFrame:
-    return orphans.report(_orphans(spark, d).orphans())
+    return orphans.report(orphans.track(*_references(spark, d)).orphans())
 
 
 def p3_history(spark: SparkSession, d: str) -> DataFrame:
-    return _orphans(spark, d, snapshots=True).history()
+    return orphans.history(*_references(spark, d))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -122,6 +122,15 @@ UNION ALL SELECT rec_id, 'block', cp::INT, bp::INT FROM bf"""
 
 SQL = {
     "p3_found": _P3 + "SELECT * FROM o",
+    "p3_history": """WITH r AS (SELECT 'start' AS endpoint, start_node_id AS k, loaded_at AS t FROM aquatic_hyphomycetes_graph
+  UNION ALL SELECT 'end', end_node_id, loaded_at FROM aquatic_hyphomycetes_graph),
+v AS (SELECT id AS k, loaded_at AS l, deleted_at AS d FROM graph_nodes UNION ALL SELECT id, loaded_at, deleted_at FROM graph_terms),
+s AS (SELECT date_trunc('month', min(t)) AS lo, max(t) AS hi FROM (SELECT t FROM r WHERE regexp_matches(k, '\\S') UNION ALL SELECT l FROM v WHERE k IS NOT NULL)),
+g AS (SELECT lo + to_months(CAST(6 * (i + 1) AS INT)) AS ts FROM s, range(0, 20000) x(i) WHERE lo + to_months(CAST(6 * i AS INT)) <= hi),
+c AS (SELECT endpoint, k, ts, count(*) AS n FROM r JOIN g ON t < ts WHERE regexp_matches(k, '\\S') GROUP BY ALL),
+u AS (SELECT k, ts, max(coalesce(d, TIMESTAMP '9999-12-31')) AS until FROM v JOIN g ON l < ts GROUP BY ALL),
+o AS (SELECT ts AS snapshot_at, endpoint, CASE WHEN until IS NULL THEN 'missing' WHEN until <= ts THEN 'deleted' END AS state, n FROM c LEFT JOIN u USING (k, ts))
+SELECT snapshot_at, endpoint, state, sum(n)::BIGINT AS open_refs FROM o WHERE state IS NOT NULL GROUP BY ALL""",
     "p3_report": _P3 + "SELECT endpoint, load_month, kind, count(*) AS orphans FROM o GROUP BY ALL",
     "p4_found": _P4,
     "p4_classifier": """SELECT rec_id, classifier.* FROM training_index WHERE coalesce(classifier.image_type, classifier.confidence::VARCHAR, classifier.sat_mean::VARCHAR,

@@ -7,10 +7,18 @@ def day(month, d=1, h=0):
     return datetime(2024, month, d, h)
 
 
-def run(spark, edges, nodes, **kw):
+def tables(spark, edges, nodes):
     e = spark.createDataFrame(edges, "edge_id long, start_node_id string, end_node_id string, loaded_at timestamp_ntz, kind string, key string")
     n = spark.createDataFrame(nodes, "id string, loaded_at timestamp_ntz, deleted_at timestamp_ntz, t string")
-    return O.track(O.references(e), O.versions(n), **kw)
+    return O.references(e), O.versions(n)
+
+
+def run(spark, edges, nodes, **kw):
+    return O.track(*tables(spark, edges, nodes), **kw)
+
+
+def opened(spark, edges, nodes):
+    return {(r.snapshot_at.month, r.endpoint, r.state): r.open_refs for r in O.history(*tables(spark, edges, nodes), months=1).collect()}
 
 
 def kinds(state):
@@ -61,19 +69,62 @@ def test_against_brute_force(spark):
     assert kinds(run(spark, edges, nodes, months=2)) == brute(edges, nodes)
 
 
-def test_batches_resolve_and_reopen(spark):
-    state = run(spark, [(1, "x", "y", day(1), "", "")], [("x", day(2), day(4), ""), ("y", day(1), None, "")], months=1, snapshots=True)
-    got = {(r.snapshot_at.month, r.endpoint, r.state): r.open_refs for r in state.history().collect()}
+def test_runs_are_merged(spark, monkeypatch):
+    """References that wait over merges of merges, and one whose key arrives last."""
+    monkeypatch.setattr(O, "FAN", 2)
+    nodes = [(f"n{i}", day(i + 1, 5), None, "") for i in range(9)]
+    edges = [(i, f"n{8 - i}", "gone", day(i + 1, 6), "", "") for i in range(9)]
+    state = run(spark, edges, nodes, months=1)
+    assert kinds(state) == brute(edges, nodes)
+    assert sum(len(r) for r in state.keys.ranks) == 2
+
+
+def test_rows_at_one_instant_and_in_one_minute(spark):
+    t = lambda s, us=0: datetime(2024, 3, 1, 0, 0, s, us)
+    nodes = [("h", t(1), t(3), ""), ("h", t(1), t(2), ""), ("h", t(5), None, ""), ("i", t(4, 7), t(4, 7), "")]
+    edges = [(i, "h", "i", t(s, us), "", "") for i, (s, us) in enumerate([(0, 0), (1, 0), (1, 0), (2, 5), (3, 0), (4, 7), (4, 6), (5, 0), (5, 0), (59, 0)])]
+    assert kinds(run(spark, edges, nodes)) == brute(edges, nodes)
+
+
+def test_history_of_batches_without_arrivals(spark):
     # at the end of January x is missing; it is there in February and March, and gone again from April on
-    assert got == {(2, "start", "missing"): 1}
+    assert opened(spark, [(1, "x", "y", day(1), "", "")], [("x", day(2), day(4), ""), ("y", day(1), None, "")]) == {(2, "start", "missing"): 1}
 
 
 def test_reopened_by_a_deletion(spark):
     edges = [(1, "x", "y", day(2), "", ""), (2, "y", "y", day(6), "", "")]
-    state = run(spark, edges, [("x", day(1), day(4), ""), ("y", day(1), None, "")], months=1, snapshots=True)
-    got = {(r.snapshot_at.month, r.endpoint, r.state): r.open_refs for r in state.history().collect()}
-    assert got == {(4, "start", "deleted"): 1, (5, "start", "deleted"): 1, (6, "start", "deleted"): 1, (7, "start", "deleted"): 1}
-    assert kinds(state) == []
+    nodes = [("x", day(1), day(4), ""), ("y", day(1), None, "")]
+    # gone from April 1st on, so at the end of March already
+    assert opened(spark, edges, nodes) == {(m, "start", "deleted"): 1 for m in (4, 5, 6, 7)}
+    assert kinds(run(spark, edges, nodes, months=1)) == []
+
+
+def test_history_against_brute_force(spark):
+    import random
+
+    rnd = random.Random(8)
+    stamp = lambda: datetime(2024, rnd.randint(1, 9), rnd.randint(1, 3), rnd.choice([0, 0, 5]))
+    nodes = [(f"n{rnd.randint(0, 12)}", a := stamp(), rnd.choice([None, max(a, stamp()), datetime(2024, rnd.randint(1, 12), 1)]), "") for _ in range(30)]
+    edges = [(i, f"n{rnd.randint(0, 15)}", f"n{rnd.randint(0, 15)}", stamp(), "", "") for i in range(60)]
+    last = max([e[3] for e in edges] + [n[1] for n in nodes]).month
+    first = min([e[3] for e in edges] + [n[1] for n in nodes]).month
+    want = {}
+    for m in range(first, last + 1):
+        at = datetime(2024, m + 1, 1)
+        for _, s, e, t, *_ in edges:
+            for side, k in (("start", s), ("end", e)):
+                ends = [b or datetime(9999, 1, 1) for n, a, b, _ in nodes if n == k and a < at]
+                state = "missing" if not ends else "deleted" if max(ends) <= at else None
+                if t < at and state:
+                    want[m + 1, side, state] = want.get((m + 1, side, state), 0) + 1
+    assert opened(spark, edges, nodes) == want
+
+
+def test_history_does_not_depend_on_stray_dates(spark):
+    edges = [(1, "x", " ", day(2), "", ""), (2, "x", None, datetime(2090, 1, 1), "", "")]
+    got = O.history(*tables(spark, edges, []), months=1)
+    assert got.count() == (2090 - 2024) * 12 and got.filter("open_refs = 1").count() == (2090 - 2024) * 12 - 1
+    assert O.history(*tables(spark, [], [])).count() == 0
 
 
 def test_empty_sides(spark):
