@@ -58,6 +58,26 @@ NOT_GENERA = tuple(
     Seven Eight Nine Ten Since However Therefore Moreover Furthermore Although Bootstrap Maximum Bayesian Parsimony Analysis
     Combined Concatenated Topology Phylogram Cladogram Support Values Matrix Dataset""".split()
 )
+#: Capitalised words of four letters and more, without a suffix of other ranks or words, that are no genera in legends (fixed values).
+NOT_LEGEND_GENERA = tuple(
+    """Figure Plate Appendix Species Genus Family Order Class Phylum Kingdom Author Study Results Methods Abstract References
+    Notes Scale Figs Supplementary Material Supplemental This These Their From With Also Such Both Some Many Most Other
+    Each Type Were Have Should Would Could Does Been Into Over Under After Before Between Within However Therefore
+    Furthermore Moreover Although Based Used Among Along Around Upon Respectively Previously Combined Shown Given Found
+    Known Made Note Taxonomy Systematics Phylogeny Phylogenetic Morphology Analysis Analyses Isolates Isolate Strains
+    Strain Cultures Culture Fungal Fungus Fungi European American Brazilian Asian African Australian North South East West
+    Central Upper Lower Novel Unknown Undescribed Sexual Asexual Collections Specimen Specimens Voucher Generic Similar
+    Different Present Recent Current Several Multiple Single Large Small Long Short Wide Narrow Dark Light White Black
+    Hyaline Septate Branched Simple Complex Common Rare Frequent Abundant Diverse Important Distinct Unique Characteristic
+    Spores Conidia Conidial Sample Samples Colonies Colony Conidiophores Mycelium Hyphae Average General Download
+    Downloaded Biotic Parasitic Saprophytic Heterotrophic Despite While Content Minimum Maximum Article History Academic
+    Editor Open Source Image Data Bootstrap Neighbour Relationship Configured Solutions Cluster Monthly Variations Nickel
+    Sorensen Pooled Mere Exposure Substantive Springer Successful Primer Major Milestones Conjugate Ingoldian Ingold
+    Microscopic Structures Blue Periascal Immature Newly Generated Products Pubs Kappa Values Mosaic When Here Only
+    Incertae Sedis Even Though Total Number Dimethyl Phthalate World Cladogram Phylogram Practices Seven Nannfeldt Erected
+    Foot Cells Parsimony Emended Forest Haridwar River Asan Wetland Limnology Environmental Esta Este Para Como Mais Foram
+    Sendo Ainda""".split()
+)
 #: Words that are no epithets in legends (fixed values).
 NOT_LEGEND_EPITHETS = tuple(
     """and the was were are for from with had has have been not but can may data into also such which when than recognized
@@ -133,7 +153,8 @@ def epithet_syntax(epithet: Column, not_epithets: Iterable[str] = NOT_LEGEND_EPI
 
 
 def valid_binomial(genus: Column, epithet: Column, vocabulary: Iterable[str] | None = None) -> Column:
-    return genus_syntax(genus) & epithet_syntax(epithet) & known_genus(genus, vocabulary)
+    """Whether both words can be a name in a legend, of a genus in the vocabulary if there is one."""
+    return genus_syntax(genus, NOT_LEGEND_GENERA) & epithet_syntax(epithet) & known_genus(genus, vocabulary)
 
 
 def dehyphenated(text: Column) -> Column:
