@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from taxaflow.functions.naming import morphotype_of
+from taxaflow.runtime import SharedTables
 
 MORPHOTYPES = ["stauroid", "scolecoid", "appendaged", "helicoid", "clavate"]
 UNKNOWN = "unknown"
@@ -84,6 +85,19 @@ def upsert_edges(edges: DataFrame, nodes: DataFrame, existing: DataFrame | None
     return e.join(old, ["src", "type", "dst"], "left").select("src", "type", "dst", F.col("old").isNull().alias("created"))
 
 
+def stored(raw: DataFrame, *tables: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The current nodes and the edges between them, each written once to the shared folder.
+
+    A query of several hops reads them once per hop, instead of merging all rows
+    of the node tables for each. Edges are sorted by type within their files, so
+    that a hop reads the parts with its type.
+    """
+    store = SharedTables(raw.sparkSession, "graph")
+    nodes = store.save(current_nodes(*tables), "nodes")
+    edges = upsert_edges(stated_edges(raw), nodes)
+    return nodes, store.save(edges.sortWithinPartitions("type", "src"), "edges")
+
+
 def repeated_ids(*tables: DataFrame) -> DataFrame:
     """(id, n): ids in more than one row, which a uniqueness constraint would refuse."""
     return reduce(DataFrame.union, [t.select("id") for t in tables]).groupBy("id").agg(F.count("*").alias("n")).filter("n > 1")

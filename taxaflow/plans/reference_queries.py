@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from taxaflow.functions import naming, vectors
 from taxaflow.functions import patterns as P
 from taxaflow.operators import captions, graph, legend, pipelines, records, similarity, vision
-from taxaflow.runtime import numbered, spread
+from taxaflow.runtime import numbered, spread, stamp
 from taxaflow.sources.readers import Vocabulary
 
 Q: dict = {}
@@ -40,9 +40,18 @@ def _stated(spark: SparkSession, d: str) -> DataFrame:
     return graph.stated_edges(_read(spark, d, "aquatic_hyphomycetes_graph"))
 
 
+#: The stored graph of each session and state of its tables.
+_GRAPHS: dict[tuple, tuple[DataFrame, DataFrame]] = {}
+
+
 def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    n = _nodes(spark, d)
-    return n, graph.upsert_edges(_stated(spark, d), n)
+    """The graph of the tables in a folder, stored when it is first asked for, and again once a file has changed."""
+    names = ("aquatic_hyphomycetes_graph", "graph_nodes", "graph_terms")
+    raw = [_read(spark, d, n) for n in names]
+    key = (spark.sparkContext.applicationId, d, *(stamp(spark, f"{d}/{n}.parquet") for n in names))
+    if key not in _GRAPHS:
+        _GRAPHS[key] = graph.stored(*raw)
+    return _GRAPHS[key]
 
 
 _G = """WITH raw AS (SELECT id, label, name, properties, loaded_at, deleted_at FROM graph_nodes

@@ -116,6 +116,15 @@ def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     return rows.join(F.broadcast(start), "_range").withColumn(name, F.col("_before") + F.col("_place")).drop("_range", "_place", "_before")
 
 
+def stamp(spark: SparkSession, path: str) -> tuple[int, int, int]:
+    """(files, bytes, last change) of a table's folder or file."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = [s for s in (fs.globStatus(jvm.org.apache.hadoop.fs.Path(path, "*")) or [])] or [fs.getFileStatus(p)]
+    return len(files), sum(s.getLen() for s in files), max(s.getModificationTime() for s in files)
+
+
 def has_rows(df: DataFrame) -> bool:
     return bool(df.limit(1).count())
 
