@@ -57,11 +57,11 @@ def epithet_of_pages(pages: DataFrame, key: str, vocabulary: Iterable[str] | Non
 
     Takes (key, page, text), pages numbered in order. What all pages together
     would give is put together from per-page results, so no document is ever
-    gathered: a page is read with the head of the next one, for names and
+    gathered: a page is read together with the next one, for names and
     section titles that a page break divides; a blocked section anywhere blocks
     the whole, else the first such name counts, else the first genus.
     """
-    head = pages.select(key, (F.col("page") - 1).alias("page"), F.substring("text", 1, 300).alias("_head")).groupBy(key, "page").agg(F.min("_head").alias("_head"))
+    head = pages.select(key, (F.col("page") - 1).alias("page"), F.col("text").alias("_head")).groupBy(key, "page").agg(F.min("_head").alias("_head"))
     e = pages.select(key, "page", F.coalesce("text", F.lit("")).alias("text")).join(head, [key, "page"], "left")
     full = F.concat_ws("\n", "text", "_head")
     e = e.select(key, "page", F.substring("text", 1, 180).alias("snippet"), epithet(F.col("text"), vocabulary).alias("own"), epithet(full, vocabulary).alias("wide"), P.blocked(full).alias("blocked"))

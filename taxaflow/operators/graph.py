@@ -18,6 +18,8 @@ from taxaflow.runtime import SharedTables
 
 MORPHOTYPES = ["stauroid", "scolecoid", "appendaged", "helicoid", "clavate"]
 UNKNOWN = "unknown"
+#: Classes of a graph, which its look-ups take as a list.
+MOST_CLASSES = 1000
 #: Edge types that each label must have (fixed values).
 HIERARCHY = [
     ("Class", "BELONGS_TO_PHYLUM", "Classes without phylum"),
@@ -151,6 +153,25 @@ def lineage(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return r.select("genus_id", "genus", "order_name", "class_name", "phylum")
 
 
+def species_lineage(nodes: DataFrame, edges: DataFrame, genus: str | None = None) -> DataFrame:
+    """(species_id, species, genus, order_name, class_name, phylum) of all complete paths from a species up, of one genus if given."""
+    r = hop(labelled(nodes, "Species", "species"), nodes, edges, "species", "BELONGS_TO_GENUS", "Genus", "genus")
+    if genus is not None:
+        r = r.filter(F.col("genus") == genus)
+    return r.join(lineage(nodes, edges).drop("genus"), "genus_id").select("species_id", "species", "genus", "order_name", "class_name", "phylum")
+
+
+def lineage_with_morphotype(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(genus_id, genus, order_name, class_name, phylum, morphotype): complete paths of the genera that have a morphotype, one row for each."""
+    return hop(lineage(nodes, edges), nodes, edges, "genus", "HAS_MORPHOTYPE", "ConidialMorphotype", "morphotype").drop("morphotype_id")
+
+
+def in_order(rows: DataFrame, order: list[Column], limit: int | None = None) -> DataFrame:
+    """``rows`` sorted, and cut to the first ``limit`` if that is asked for."""
+    rows = rows.orderBy(*order)
+    return rows if limit is None else rows.limit(limit)
+
+
 def genera_of_morphotype(nodes: DataFrame, edges: DataFrame, text: str, exact: bool = False) -> DataFrame:
     """(genus_id, genus, morphotype) of genera whose morphotype's name holds ``text`` in any case, or equals it."""
     r = hop(labelled(nodes, "Genus", "genus"), nodes, edges, "genus", "HAS_MORPHOTYPE", "ConidialMorphotype", "morphotype")
@@ -233,6 +254,11 @@ def genera_by_class(table: DataFrame) -> DataFrame:
     return table.groupBy("morphotype").agg(F.count("*").alias("genera"))
 
 
+def genera_of_class(table: DataFrame, morphotype: str) -> DataFrame:
+    """(genus): all genera of a class, none for a class that the table lacks."""
+    return table.filter(F.col("morphotype") == morphotype).select("genus")
+
+
 def genus_classes(edges: DataFrame) -> DataFrame:
     """(genus_id, morphotype_id): the class of each genus, the last by id if there are several."""
     return edges.filter("type = 'HAS_MORPHOTYPE'").groupBy(F.col("src").alias("genus_id")).agg(F.max("dst").alias("morphotype_id"))
@@ -248,15 +274,16 @@ def hard_negatives(edges: DataFrame, anchors: DataFrame) -> DataFrame:
 def easy_negatives(edges: DataFrame, anchors: DataFrame) -> DataFrame:
     """(anchor, genus_id): genera of other classes than the anchor's.
 
-    Anchors are first joined to the classes (few), then to the genera on the
-    class, so every join has a key.
+    The classes are a list of bounded length, so each anchor names the others
+    itself and meets their genera by a join on the class.
     """
     g = genus_classes(edges)
     a = g.join(anchors.select("genus_id").distinct(), "genus_id").select(F.col("genus_id").alias("anchor"), F.col("morphotype_id").alias("own"))
-    others = g.select("morphotype_id").distinct()
-    own = a.select("own").distinct()
-    pairs = own.join(others, F.col("own") != F.col("morphotype_id"))  # classes by classes
-    return a.join(pairs, "own").join(g, "morphotype_id").select("anchor", "genus_id")
+    classes = [r[0] for r in g.select("morphotype_id").distinct().limit(MOST_CLASSES + 1).collect()]
+    if len(classes) > MOST_CLASSES:
+        raise ValueError(f"more than {MOST_CLASSES} classes")
+    others = F.filter(F.array(*(F.lit(c) for c in sorted(classes))).cast("array<string>"), lambda c: c != F.col("own"))
+    return a.select("anchor", F.explode(others).alias("morphotype_id")).join(g, "morphotype_id").select("anchor", "genus_id")
 
 
 def check_predictions(predictions: DataFrame, table: DataFrame) -> DataFrame:

@@ -93,14 +93,14 @@ class Runs:
         self.empty = tables.spark.createDataFrame([], T._parse_datatype_string(schema))
         self.ranks: list[list[tuple[str, DataFrame]]] = []
 
-    def _save(self, df: DataFrame) -> tuple[str, DataFrame]:
+    def save(self, df: DataFrame) -> tuple[str, DataFrame]:
         self.n += 1
         name = f"{self.name}{self.n}"
         return name, self.tables.save(df, name)
 
-    def add(self, df: DataFrame, written: bool = False) -> None:
-        """Adds a run; ``written`` says that it is a view of tables already in the shared folder, so that merging writes it first."""
-        run, rank = ("", df) if written else self._save(df), 0
+    def add(self, df: DataFrame, name: str = "") -> None:
+        """Adds a run that is written already: as the table ``name``, or, without one, as a part of tables that stay."""
+        run, rank = (name, df), 0
         while True:
             if rank == len(self.ranks):
                 self.ranks.append([])
@@ -108,7 +108,7 @@ class Runs:
             if len(self.ranks[rank]) < FAN:
                 return
             old, self.ranks[rank] = self.ranks[rank], []
-            run = self._save(self.merge(_union([d for _, d in old])))
+            run = self.save(self.merge(_union([d for _, d in old])))
             for name in [n for n, _ in old if n]:
                 self.tables.drop(name)
             rank += 1
@@ -163,9 +163,10 @@ class OrphanState:
         asked = instants.withColumn("running", running).filter("asked").join(minutes, slot).select("key", "at", F.greatest("running", "before").alias("until"))
         return refs.join(asked, ["key", "at"]).select("edge_id", "endpoint", "key", "t", "until")
 
-    def step(self, refs: DataFrame, parents: DataFrame, written: bool = False) -> None:
-        """Takes the references and versions that arrived since the last batch; ``written`` as for ``Runs.add``."""
+    def step(self, refs: DataFrame, parents: DataFrame) -> None:
+        """Takes the references and versions that arrived since the last batch."""
         arrived = parents.select("key", F.col("loaded_at").alias("first_loaded"), _end(F.col("deleted_at")).alias("alive_until"))
+        name, arrived = self.keys.save(_of_key(arrived))
         touched = refs.select("key").union(parents.select("key")).distinct()
         known = _of_key(self.keys.all().join(touched, "key", "left_semi"))
         probed = self.tables.save(self._probe(refs, parents, known), f"probed{self.n}")
@@ -174,11 +175,11 @@ class OrphanState:
         self.facts.append(probed.filter(F.col("until") <= at).select("edge_id", "endpoint", "key", "t", F.lit("deleted").alias("kind")))
         waiting = probed.filter("until IS NULL").select("edge_id", "endpoint", "key", "t")
         # keys that arrive for the first time resolve what waits for them, also from this batch
-        fresh = _of_key(arrived).join(self.keys.all().select("key"), "key", "left_anti").select("key")
+        fresh = arrived.join(self.keys.all().select("key"), "key", "left_anti").select("key")
         waits = self.waiting.all().union(waiting)
         self.facts.append(self.tables.save(waits.join(fresh, "key", "left_semi").select("edge_id", "endpoint", "key", "t", F.lit("late").alias("kind")), f"late{self.n}"))
-        self.keys.add(_of_key(arrived), written)
-        self.waiting.add(waiting, written=True)
+        self.keys.add(arrived, name)
+        self.waiting.add(waiting)
         self.n += 1
 
     def orphans(self) -> DataFrame:
@@ -202,7 +203,7 @@ def batches(refs: DataFrame, parents: DataFrame, months: int) -> tuple[int, int,
     return met[0], months, numbers
 
 
-def track(refs: DataFrame, parents: DataFrame, months: int = 6) -> OrphanState:
+def track(refs: DataFrame, parents: DataFrame, months: int = 12) -> OrphanState:
     """Runs all of ``refs`` and ``parents`` through the state, in batches of ``months`` months."""
     state = OrphanState(refs.sparkSession)
     first, months, numbers = batches(refs, parents, months)
@@ -212,7 +213,7 @@ def track(refs: DataFrame, parents: DataFrame, months: int = 6) -> OrphanState:
         r = state.tables.save(refs.filter("t IS NOT NULL").withColumn("batch", number("t")), "refs", "batch")
         p = state.tables.save(parents.filter("loaded_at IS NOT NULL").withColumn("batch", number("loaded_at")), "parents", "batch")
         for i in numbers:
-            state.step(r.filter(F.col("batch") == i).drop("batch"), p.filter(F.col("batch") == i).drop("batch"), written=True)
+            state.step(r.filter(F.col("batch") == i).drop("batch"), p.filter(F.col("batch") == i).drop("batch"))
     undated_refs, undated = refs.filter("t IS NULL"), parents.filter("loaded_at IS NULL")
     if has_rows(undated_refs):
         state.step(undated_refs, parents.limit(0))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from taxaflow.functions.naming import output_name, safe
+
 BLOCK = 2048
 
 
@@ -21,18 +23,22 @@ def capped(samples: DataFrame, by: list[str], order: list[Column], most: int = 8
 def neighbours(queries: DataFrame, index: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, id, sim, rank): the ``k`` rows of ``index`` (id, vector) with the largest inner product.
 
-    ``queries`` (query_id, vector) are a stated query set: they are taken in
-    blocks of ``BLOCK``, each block as a matrix to all partitions of the index,
-    which keep the best ``k`` per query; the bests are then ranked per query.
-    Exact; ties go to the smaller id; an index row never answers itself.
+    ``queries`` (query_id, vector) are a stated query set: they are divided by a
+    hash into blocks of about ``BLOCK``, each block as a matrix to all
+    partitions of the index, which keep the best ``k`` per query; the bests are
+    then ranked per query. Exact; ties go to the smaller id; an index row never
+    answers itself. Repeated queries are one; an id with several vectors gets the
+    best of all of them.
     """
-    spark, out, last = index.sparkSession, None, None
+    spark, out = index.sparkSession, None
     fields = "query_id long, id long, sim double"
-    rows = queries.select(F.col("query_id").cast("long"), F.col("vector").cast("array<double>")).filter("query_id IS NOT NULL AND vector IS NOT NULL").orderBy("query_id")
-    while True:
-        part = (rows if last is None else rows.filter(F.col("query_id") > last)).limit(BLOCK).collect()
+    rows = queries.select(F.col("query_id").cast("long"), F.col("vector").cast("array<double>")).filter("query_id IS NOT NULL AND vector IS NOT NULL").distinct()
+    blocks = -(-rows.count() // BLOCK)
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("query_id", "vector"), F.lit(max(blocks, 1))))
+    for block in range(blocks):
+        part = rows.filter(F.col("block") == block).orderBy("query_id", "vector").collect()
         if not part:
-            break
+            continue
         shared = spark.sparkContext.broadcast((np.array([r["query_id"] for r in part]), np.array([r["vector"] for r in part], dtype=np.float64)))
 
         def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
@@ -53,11 +59,9 @@ def neighbours(queries: DataFrame, index: DataFrame, k: int = 5) -> DataFrame:
 
         found = index.select(F.col("id").cast("long"), F.col("vector").cast("array<double>")).filter("id IS NOT NULL AND vector IS NOT NULL").mapInPandas(search, fields).filter("sim > double('-infinity')")
         out = found if out is None else out.union(found)
-        if len(part) < BLOCK:
-            break
-        last = part[-1]["query_id"]
     if out is None:
         out = spark.createDataFrame([], fields)
+    out = out.groupBy("query_id", "id").agg(F.max("sim").alias("sim"))
     return out.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("sim"), "id"))).filter(F.col("rank") <= k)
 
 
@@ -82,6 +86,56 @@ def predictions(ranked: DataFrame, label: str, least: float = 0.35) -> DataFrame
     return p.select("query_id", "best", "confidence", (F.col("confidence") < least).alias("uncertain"), F.to_json("t").alias("top_json"))
 
 
+def named_predictions(ranked: DataFrame, targets: DataFrame, least: float = 0.35) -> DataFrame:
+    """(sampling_point, target_path, best_genus, best_species, confidence, top3_json, output_path): one row per target.
+
+    ``ranked`` is ``votes`` by genus and species; ``targets`` has (query_id,
+    path), paths relative to their root. The sampling point is the first folder,
+    RAIZ if there is none. The output's name holds the target's name, the best
+    genus and species, ``UNCERTAIN_`` before them if the confidence is below
+    ``least``, and the confidence in percent. A target without votes is UNKNOWN.
+    """
+    top = F.array_sort(F.collect_list(F.struct("place", "genus", "species", F.round("share", 4).alias("share"))))
+    best = ranked.groupBy("query_id").agg(
+        F.min_by("genus", "place").alias("best_genus"), F.min_by("species", "place").alias("best_species"), F.max("share").alias("confidence"), top.alias("t")
+    )
+    r = targets.join(best, "query_id", "left").withColumns(
+        {
+            "best_genus": F.coalesce("best_genus", F.lit("UNKNOWN")),
+            "best_species": F.coalesce("best_species", F.lit("sp")),
+            "confidence": F.coalesce("confidence", F.lit(0.0)),
+            "parts": F.split("path", "/"),
+        }
+    )
+    file = F.element_at("parts", -1)
+    stem = F.when(file.contains("."), F.regexp_replace(file, r"\.[^.]*$", "")).otherwise(file)
+    ending = F.lower(F.regexp_extract(file, r"(\.[^.]*)$", 1))
+    point = F.when(F.size("parts") > 1, F.get("parts", F.lit(0))).otherwise("RAIZ")
+    unnamed = lambda c: F.when(F.col("best_genus") == "UNKNOWN", F.regexp_replace(c, "UNKNOWN_sp__conf", "UNKNOWN__conf")).otherwise(c)
+    out = F.concat(safe(point), F.lit("/"), unnamed(output_name(stem, F.col("best_genus"), F.col("best_species"), F.col("confidence"), ending, least)))
+    return r.select(
+        point.alias("sampling_point"), F.col("path").alias("target_path"), "best_genus", "best_species", F.format_number("confidence", 4).alias("confidence"),
+        F.to_json(F.coalesce("t", F.array().cast("array<struct<place:int,genus:string,species:string,share:double>>"))).alias("top3_json"), out.alias("output_path"),
+    )
+
+
+def few_shot(queries: DataFrame, index: DataFrame, labels: DataFrame, shots: Iterable[int] = (1, 5, 10), k: int = 5) -> DataFrame:
+    """(shots, queries, hits, accuracy): how often the first vote is right if each class has so many rows in the index.
+
+    ``index`` is (id, vector), ``labels`` (id, label); of each class the rows
+    with the smallest ids stay. Queries are labelled by their own id.
+    """
+    out = None
+    for n in shots:
+        kept = capped(labels, ["label"], [F.col("id")], n)
+        best = votes(neighbours(queries, index.join(kept.select("id"), "id"), k), kept.select("id", "label", F.lit(1.0).alias("label_confidence")), ["label"], 1)
+        truth = labels.select(F.col("id").alias("query_id"), F.col("label").alias("truth"))
+        r = best.join(truth, "query_id").agg(F.count("*").alias("queries"), F.count_if(F.col("label") == F.col("truth")).alias("hits"))
+        r = r.select(F.lit(n).alias("shots"), "queries", "hits", F.when(F.col("queries") > 0, F.col("hits") / F.col("queries")).alias("accuracy"))
+        out = r if out is None else out.union(r)
+    return out
+
+
 def rollup_counts(rows: DataFrame, group: str, item: str) -> DataFrame:
     """(group, item, n, total): counts per group and item, with the group's total."""
     c = rows.groupBy(group, item).agg(F.count("*").alias("n"))

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from taxaflow.functions import naming, vectors
 from taxaflow.functions import patterns as P
@@ -144,6 +145,34 @@ def j6_lineage(spark: SparkSession, d: str) -> DataFrame:
     return graph.lineage(*_graph(spark, d))
 
 
+_PATH = """, l AS (SELECT n.id AS genus_id, n.name AS genus, o AS order_name, c AS class_name, p AS phylum FROM n JOIN o ON o.a_id = n.id JOIN c ON c.a_id = o.o_id JOIN p ON p.a_id = c.c_id WHERE n.label = 'Genus')
+"""
+
+
+@query(
+    _G
+    + _TAX
+    + _PATH
+    + """SELECT h.a_id AS species_id, h.a_name AS species, l.genus, order_name, class_name, phylum FROM h JOIN l ON l.genus_id = h.b_id
+WHERE h.type = 'BELONGS_TO_GENUS' AND h.a_label = 'Species' AND h.b_label = 'Genus'"""
+)
+def j6_species_lineage(spark: SparkSession, d: str) -> DataFrame:
+    return graph.species_lineage(*_graph(spark, d))
+
+
+@query(_G + _TAX + _PATH + "SELECT l.*, m AS morphotype FROM l JOIN m ON m.a_id = l.genus_id")
+def j5_lineage_with_morphotype(spark: SparkSession, d: str) -> DataFrame:
+    return graph.lineage_with_morphotype(*_graph(spark, d))
+
+
+@query(_G + "SELECT id, name, row_number() OVER (ORDER BY name, id) AS place FROM n WHERE label = 'Genus' AND name IS NOT NULL QUALIFY place <= 100")
+def k10_first_genera(spark: SparkSession, d: str) -> DataFrame:
+    """The first hundred genera by name: a top-k report."""
+    nodes, _ = _graph(spark, d)
+    top = graph.in_order(nodes.filter("label = 'Genus' AND name IS NOT NULL").select("id", "name"), [F.col("name"), F.col("id")], 100)
+    return top.withColumn("place", F.row_number().over(W.orderBy("name", "id")).cast("long"))  # a hundred rows
+
+
 _ANCHORS = """, gm AS (SELECT src AS genus_id, max(dst) AS morphotype_id FROM e WHERE type = 'HAS_MORPHOTYPE' GROUP BY src),
 a AS (SELECT morphotype_id, min(genus_id) AS anchor FROM gm GROUP BY morphotype_id)
 """
@@ -207,6 +236,11 @@ def j15_morphotype_lookup(spark: SparkSession, d: str) -> DataFrame:
     return graph.morphotypes_of(_read(spark, d, "training_index").select("rec_id", "genus"), "genus", t).select("rec_id", "morphotype")
 
 
+@query(_G + _MT + "SELECT genus FROM mt WHERE morphotype = 'stauroid'")
+def j16_genera_of_class(spark: SparkSession, d: str) -> DataFrame:
+    return graph.genera_of_class(graph.morphotype_table(*_graph(spark, d)), "stauroid")
+
+
 @query(_G + _MT + "SELECT morphotype, count(*) AS genera FROM mt GROUP BY morphotype")
 def j16_genera_by_class(spark: SparkSession, d: str) -> DataFrame:
     return graph.genera_by_class(graph.morphotype_table(*_graph(spark, d)))
@@ -629,10 +663,45 @@ def a9_knn_vote(spark: SparkSession, d: str) -> DataFrame:
     return similarity.votes(found, labels, ["label"]).withColumn("share", F.round("share", 4))
 
 
-@query()
+@query(
+    _KNN
+    + """, b AS (SELECT query_id, max(share) AS conf, min_by(label, place) AS best FROM v WHERE place <= 3 GROUP BY query_id),
+j AS (SELECT query_id, '[' || string_agg('{"place":' || place || ',"label":"' || label || '","share":"' || printf('%.4f', share) || '"}', ',' ORDER BY place) || ']' AS top_json FROM (SELECT query_id, place, label, share FROM v WHERE place <= 3) GROUP BY query_id)
+SELECT query_id, best::VARCHAR AS best, round(conf, 4) AS confidence, conf < 0.35 AS uncertain, top_json FROM b JOIN j USING (query_id)"""
+)
 def w14_predictions(spark: SparkSession, d: str) -> DataFrame:
     found, labels = _neighbours(spark, d)
-    return similarity.predictions(similarity.votes(found, labels, ["label"]), "label")
+    p = similarity.predictions(similarity.votes(found, labels.withColumn("label", F.col("label").cast("string")), ["label"]), "label")
+    return p.withColumn("confidence", F.round("confidence", 4))
+
+
+@query(
+    _KNN
+    + """, b AS (SELECT query_id, max(share) AS conf, min_by(label, place) AS best FROM v WHERE place <= 3 GROUP BY query_id)
+SELECT 'point' || (query_id % 7) AS sampling_point, 'point' || (query_id % 7) || '/v' || query_id || '.PNG' AS target_path, 'Class' || best AS best_genus, 'sp' AS best_species, printf('%.4f', conf) AS confidence,
+  'point' || (query_id % 7) || '/v' || query_id || '__' || CASE WHEN conf < 0.35 THEN 'UNCERTAIN_' ELSE '' END || 'Class' || best || '_sp__conf' || printf('%02d', CAST(round_even(conf * 100, 0) AS INT)) || '.png' AS output_path FROM b"""
+)
+def w14_named_predictions(spark: SparkSession, d: str) -> DataFrame:
+    found, labels = _neighbours(spark, d)
+    labels = labels.select("id", F.concat(F.lit("Class"), F.col("label").cast("string")).alias("genus"), F.lit("sp").alias("species"), "label_confidence")
+    targets = found.select("query_id").distinct().withColumn("path", F.concat(F.lit("point"), F.col("query_id") % 7, F.lit("/v"), F.col("query_id"), F.lit(".PNG")))
+    return similarity.named_predictions(similarity.votes(found, labels, ["genus", "species"]), targets).drop("top3_json")
+
+
+@query(
+    """WITH q AS (SELECT vec_id AS query_id, label AS truth, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 = 0),
+c AS (SELECT vec_id, label, embedding::DOUBLE[] AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM embeddings),
+x AS (SELECT * FROM (VALUES (1), (5), (10)) t(shots)),
+s AS (SELECT shots, query_id, truth, c.vec_id AS id, c.label, list_dot_product(q.v, c.v) AS sim FROM x JOIN c ON c.r <= shots JOIN q ON q.query_id <> c.vec_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY shots, query_id ORDER BY sim DESC, id) AS rank FROM s),
+w AS (SELECT shots, query_id, truth, label, sum(greatest(sim, 0.0)) AS w FROM k WHERE rank <= 5 GROUP BY ALL),
+b AS (SELECT *, row_number() OVER (PARTITION BY shots, query_id ORDER BY w DESC, label) AS place FROM w)
+SELECT shots, count(*) AS queries, count(CASE WHEN label = truth THEN 1 END) AS hits, count(CASE WHEN label = truth THEN 1 END) / count(*) AS accuracy FROM b WHERE place = 1 GROUP BY shots"""
+)
+def d4_few_shot(spark: SparkSession, d: str) -> DataFrame:
+    e = _read(spark, d, "embeddings")
+    q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return similarity.few_shot(q, e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), e.select(F.col("vec_id").alias("id"), "label"))
 
 
 @query(_KNN + "SELECT e.label AS truth, v.label AS guess, count(*) AS n FROM v JOIN embeddings e ON e.vec_id = v.query_id WHERE place = 1 GROUP BY ALL")
