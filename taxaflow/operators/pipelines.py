@@ -99,11 +99,16 @@ def identified(queries: DataFrame, index: DataFrame, labels: DataFrame, table: D
     return graph.check_predictions(q, table).drop("predicted_genus")
 
 
+def hashed(text: Column) -> Column:
+    """A number from 0 on by the MD5 of a text, the same in every engine; that of an empty text for null."""
+    return F.conv(F.substring(F.md5(F.coalesce(text, F.lit(""))), 1, 13), 16, 10).cast("long")
+
+
 def hash_split(rows: DataFrame, key: str, shares: dict[str, float] | None = None) -> DataFrame:
     """``rows`` with ``split`` by a hash of the key alone: the same on every run and for every new row."""
     shares = shares or {"train": 0.70, "val": 0.15, "test": 0.15}
     total, edge, out = sum(shares.values()), 0.0, None
-    u = F.pmod(F.xxhash64(key), F.lit(1_000_000)) / 1_000_000
+    u = hashed(F.col(key).cast("string")) % 1_000_000 / 1_000_000
     names = list(shares)
     for n in names[:-1]:
         edge += shares[n] / total
@@ -121,7 +126,7 @@ def sampled_pairs(edges: DataFrame, anchors: DataFrame, hard_ratio: float = 0.5,
     h = graph.hard_negatives(edges, anchors).withColumn("hard", F.lit(True))
     e = graph.easy_negatives(edges, anchors).withColumn("hard", F.lit(False))
     n = F.when(F.col("hard"), F.lit(round(per_anchor * hard_ratio))).otherwise(F.lit(per_anchor - round(per_anchor * hard_ratio)))
-    order = W.partitionBy("anchor", "hard").orderBy(F.xxhash64("anchor", "genus_id"), "genus_id")
+    order = W.partitionBy("anchor", "hard").orderBy(hashed(F.concat_ws("|", "anchor", "genus_id")), "genus_id")
     return h.union(e).withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= n).drop("_r")
 
 

@@ -443,7 +443,14 @@ def u1_export_counts(spark: SparkSession, d: str) -> DataFrame:
     return records.exported(_flat(spark, d)).groupBy("label").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"))
 
 
-@query()
+@query(
+    _FLAT
+    + """, sp AS (SELECT binomial, first(coalesce(genus, '') ORDER BY rec_id) AS g FROM flat WHERE binomial IS NOT NULL GROUP BY binomial)
+SELECT 'TrainingImage' AS label, id, json_object('id', id, 'name', id, 'imageType', image_type, 'imageTypeRaw', image_type_raw, 'paper', paper, 'binomial', coalesce(binomial, ''), 'genus', coalesce(genus, ''),
+  'species', coalesce(species, ''), 'confidence', epithet_confidence, 'captionRaw', substring(caption_raw, 1, 300), 'savedTo', saved_to)::VARCHAR AS properties FROM flat
+UNION ALL SELECT DISTINCT 'Genero', genus, json_object('id', genus, 'name', genus, 'origem', 'training')::VARCHAR FROM flat WHERE genus IS NOT NULL
+UNION ALL SELECT 'Especie', binomial, json_object('id', binomial, 'name', binomial, 'generoNome', g, 'origem', 'training')::VARCHAR FROM sp"""
+)
 def u1_export(spark: SparkSession, d: str) -> DataFrame:
     return records.exported(_flat(spark, d))
 
@@ -849,12 +856,23 @@ def e12_identified(spark: SparkSession, d: str) -> DataFrame:
     return pipelines.identified(q, vecs, e.select(F.col("vec_id").alias("id"), F.col("label").alias("genus"), F.lit(1.0).alias("label_confidence")), graph.morphotype_table(*_graph(spark, d)))
 
 
-@query()
+_MD5 = "('0x' || substring(md5({}), 1, 13))::BIGINT"
+
+
+@query(
+    f"SELECT rec_id, id, CASE WHEN h < 0.70 THEN 'train' WHEN h < 0.85 THEN 'val' ELSE 'test' END AS split FROM (SELECT rec_id, id, {_MD5.format("coalesce(id, '')")} % 1000000 / 1000000 AS h FROM training_index)"
+)
 def d1_hash_split(spark: SparkSession, d: str) -> DataFrame:
     return pipelines.hash_split(_read(spark, d, "training_index").select("rec_id", "id"), "id")
 
 
-@query()
+@query(
+    _G
+    + _ANCHORS
+    + f""", w AS (SELECT anchor, genus_id, a.morphotype_id = gm.morphotype_id AS hard FROM a CROSS JOIN gm WHERE anchor <> genus_id),
+x AS (SELECT *, row_number() OVER (PARTITION BY anchor, hard ORDER BY {_MD5.format("anchor || '|' || genus_id")}, genus_id) AS r FROM w)
+SELECT anchor, genus_id, hard FROM x WHERE r <= 5"""
+)
 def d3_sampled_pairs(spark: SparkSession, d: str) -> DataFrame:
     _, e = _graph(spark, d)
     return pipelines.sampled_pairs(e, _anchors(e))
