@@ -90,7 +90,8 @@ SELECT substring(start, 3) AS paper_a, substring(node, 3) AS paper_b FROM r WHER
     "p10_shares": _P10 + "SELECT doc_id, repeated, words::BIGINT AS words, share FROM s",
     "p10_lines": """WITH l AS (SELECT doc_id, coalesce(source, '') AS source, unnest(regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x{85}\\x{2028}\\x{2029}]')) AS line FROM documents WHERE text IS NOT NULL),
 k AS (SELECT doc_id, source, length(line) AS n, trim(regexp_replace(regexp_replace(lower(line), '[0-9]+', '0', 'g'), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS norm FROM l),
-f AS (SELECT source, norm FROM k WHERE length(norm) >= 12 GROUP BY source, norm HAVING count(DISTINCT doc_id) > 5),
+z AS (SELECT coalesce(source, '') AS source, count(DISTINCT doc_id) AS all_docs FROM documents GROUP BY ALL),
+f AS (SELECT source, norm FROM k JOIN z USING (source) WHERE length(norm) >= 12 GROUP BY source, norm, all_docs HAVING count(DISTINCT doc_id) > 5 AND count(DISTINCT doc_id) > 0.001 * all_docs),
 p AS (SELECT doc_id, count(*) AS lines, count(f.norm) AS removed, sum(n) AS all_chars, sum(CASE WHEN f.norm IS NULL THEN n ELSE 0 END) AS kept FROM k LEFT JOIN f USING (source, norm) GROUP BY doc_id),
 s AS (SELECT d.doc_id, coalesce(lines, 0) AS lines, coalesce(removed, 0) AS removed, coalesce(CASE WHEN all_chars > 0 THEN kept / all_chars ELSE 1.0 END, 1.0) AS kept_share FROM documents d LEFT JOIN p USING (doc_id))
 SELECT *, kept_share < 0.5 AS rejected FROM s""",

@@ -59,13 +59,14 @@ def _norm(c):
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"\d+", "0"), r"[^\p{L}\p{N}]+", " "))
 
 
-def line_frequency(docs: DataFrame, most_docs: int = 5, least_chars: int = 12, least_kept: float = 0.5) -> DataFrame:
+def line_frequency(docs: DataFrame, most_docs: int = 5, most_share: float = 0.001, least_chars: int = 12, least_kept: float = 0.5) -> DataFrame:
     """(doc_id, lines, removed, kept_share, rejected) of each document.
 
     Lines are compared in lower case, digits as 0, other signs as blanks; lines
     shorter than ``least_chars`` then are left alone. A line that stands in more
-    than ``most_docs`` documents of one source is removed from all of them, and
-    a document that keeps less than ``least_kept`` of its characters is rejected.
+    than ``most_docs`` documents of one source, and in more than ``most_share``
+    of them, is removed from all of them, and a document that keeps less than
+    ``least_kept`` of its characters is rejected.
     A null source is a source of its own. A null or empty text has no lines and
     is not rejected.
     """
@@ -73,13 +74,15 @@ def line_frequency(docs: DataFrame, most_docs: int = 5, least_chars: int = 12, l
     lines = lines.withColumn("norm", _norm("line"))
     key = F.when(F.length("norm") >= least_chars, F.sha2("norm", 256))
     keyed = lines.select("doc_id", "source", "at", "n", key.alias("key"))
+    sizes = docs.groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.count_distinct("doc_id").alias("all_docs"))
     frequent = (
         keyed.filter("key IS NOT NULL")
         .groupBy("source", "key", "doc_id")
         .agg(F.lit(1).alias("one"))
         .groupBy("source", "key")
         .agg(F.count("*").alias("docs"))
-        .filter(F.col("docs") > most_docs)
+        .join(sizes, "source")
+        .filter((F.col("docs") > most_docs) & (F.col("docs") > most_share * F.col("all_docs")))
         .select("source", "key", F.lit(True).alias("common"))
     )
     per = (
