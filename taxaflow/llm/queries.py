@@ -15,6 +15,14 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return splits.tied_papers(_read(spark, d, "training_index"))
 
 
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    return splits.paper_classes(_read(spark, d, "training_index"))
+
+
+def p1_forest(spark: SparkSession, d: str) -> DataFrame:
+    return splits.forest(_read(spark, d, "training_index"))
+
+
 def p1_split(spark: SparkSession, d: str) -> DataFrame:
     return splits.split(_read(spark, d, "training_index"))
 
@@ -70,7 +78,7 @@ def p10_lines(spark: SparkSession, d: str) -> DataFrame:
     return repetition.line_frequency(_read(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_split, p2_found, p2_unmatched, p7_found, p7_text, p8_ids, p8_roundtrip, p9_found, p9_report, p10_found, p10_shares, p10_lines)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p1_forest, p1_split, p2_found, p2_unmatched, p7_found, p7_text, p8_ids, p8_roundtrip, p9_found, p9_report, p10_found, p10_shares, p10_lines)}
 
 _P10 = """WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+') AS ws FROM documents),
 g AS (SELECT doc_id, i, array_to_string(ws[i:i + 4], ' ') AS gram FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 4)) AS i FROM w)),
@@ -79,13 +87,19 @@ c AS (SELECT doc_id, count(DISTINCT i + k) AS repeated FROM r, (VALUES (0), (1),
 s AS (SELECT doc_id, coalesce(repeated, 0) AS repeated, len(ws) AS words, CASE WHEN len(ws) > 0 THEN coalesce(repeated, 0) / len(ws) ELSE 0.0 END AS share FROM w LEFT JOIN c USING (doc_id))
 """
 
-SQL = {
-    "p1_found": """WITH RECURSIVE t AS (SELECT 'p:' || paper AS p, 's:' || string_split(id, '__')[1] AS s, 'i:' || string_split(id, '__')[-1] AS i FROM training_index),
+_P1 = """WITH RECURSIVE t AS (SELECT 'p:' || paper AS p, 's:' || string_split(id, '__')[1] AS s, 'i:' || string_split(id, '__')[-1] AS i FROM training_index),
 e AS (SELECT DISTINCT p AS a, s AS b FROM t WHERE p IS NOT NULL AND s IS NOT NULL UNION SELECT DISTINCT s, p FROM t WHERE p IS NOT NULL AND s IS NOT NULL
   UNION SELECT DISTINCT s, i FROM t WHERE s IS NOT NULL UNION SELECT DISTINCT i, s FROM t WHERE s IS NOT NULL),
 k AS (SELECT a, b FROM e WHERE NOT (starts_with(b, 'i:') AND b IN (SELECT a FROM e GROUP BY a HAVING count(*) = 1)) AND NOT (starts_with(a, 'i:') AND a IN (SELECT a FROM e GROUP BY a HAVING count(*) = 1))),
 r AS (SELECT DISTINCT p AS start, p AS node FROM t WHERE p IS NOT NULL UNION SELECT r.start, k.b FROM r JOIN k ON k.a = r.node)
-SELECT substring(start, 3) AS paper_a, substring(node, 3) AS paper_b FROM r WHERE starts_with(node, 'p:') AND start < node""",
+"""
+
+SQL = {
+    "p1_found": _P1 + """SELECT substring(start, 3) AS paper_a, substring(node, 3) AS paper_b FROM r WHERE starts_with(node, 'p:') AND start < node""",
+    "p1_classes": _P1
+    + """, c AS (SELECT start, min(node) AS class_id, count(DISTINCT node) AS papers FROM r WHERE starts_with(node, 'p:') GROUP BY start),
+n AS (SELECT p, count(DISTINCT s) AS links FROM t WHERE p IS NOT NULL AND s IS NOT NULL GROUP BY p)
+SELECT substring(start, 3) AS paper, substring(class_id, 3) AS class_id, papers, links FROM c JOIN n ON n.p = c.start""",
     "p10_found": _P10 + "SELECT doc_id FROM s WHERE share >= 0.3",
     "p10_shares": _P10 + "SELECT doc_id, repeated, words::BIGINT AS words, share FROM s",
     "p10_lines": """WITH l AS (SELECT doc_id, coalesce(source, '') AS source, unnest(regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x{85}\\x{2028}\\x{2029}]')) AS line FROM documents WHERE text IS NOT NULL),

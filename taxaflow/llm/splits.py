@@ -113,6 +113,27 @@ def tied_papers(records: DataFrame) -> DataFrame:
     return p.select("root", F.col("paper").alias("paper_a")).join(p.select("root", F.col("paper").alias("paper_b")), "root").filter("paper_a < paper_b").select("paper_a", "paper_b")
 
 
+def paper_classes(records: DataFrame) -> DataFrame:
+    """(paper, class_id, papers, links) of each paper on a tie: its class by the smallest paper, how many papers that has, how many ties the paper itself.
+
+    The same classes as ``tied_papers``, whose pairs grow with the square of a
+    class, in a row for each paper.
+    """
+    tables = SharedTables(records.sparkSession, "classes")
+    edges = tables.save(ties(entities(records)), "ties")
+    labels, _ = spanning_forest(edges, tables)
+    p = labels.filter("startswith(node, 'p:')")
+    classes = p.groupBy("root").agg(F.min("node").alias("class_id"), F.count("*").alias("papers"))
+    links = edges.filter("startswith(a, 'p:')").groupBy(F.col("a").alias("node")).agg(F.count("*").alias("links"))
+    plain = lambda c: F.substring(c, 3, 2**30).alias("paper" if c == "node" else c)
+    return p.join(classes, "root").join(links, "node").select(plain("node"), plain("class_id"), "papers", "links")
+
+
+def forest(records: DataFrame) -> DataFrame:
+    """(a, b): the edges of the spanning forest between papers (``p:``), slugs (``s:``) and pictures (``i:``)."""
+    return components(records)[2]
+
+
 def _rank(roots: DataFrame) -> DataFrame:
     """Adds ``rank``, from 0 within each band in hash order, without a window over a whole band."""
     r = roots.withColumn("cell", F.pmod(F.xxhash64("root"), F.lit(1024)))

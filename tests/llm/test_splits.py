@@ -97,3 +97,13 @@ def test_same_result_every_time(spark):
     rows = [(i, f"s{i % 50}__f__h{i}", f"p{i % 50}") for i in range(300)]
     a, b = ({tuple(r) for r in S.split(table(spark, *rows).repartition(k)).select("rec_id", "split").collect()} for k in (1, 7))
     assert a == b
+
+
+def test_classes_and_forest_hold_the_pairs(spark):
+    rows = [(1, "a", "s1__p1__i1"), (2, "b", "s2__p1__i1"), (3, "c", "s1__p2__i9"), (4, "d", "s3__p1__i3"), (5, None, "s3__p1__i4"), (6, "e", None), (6, "e", None)]
+    df = spark.createDataFrame(rows, "rec_id long, paper string, id string")
+    got = {r.paper: (r.class_id, r.papers, r.links) for r in S.paper_classes(df).collect()}
+    assert got == {"a": ("a", 3, 1), "b": ("a", 3, 1), "c": ("a", 3, 1), "d": ("d", 1, 1)}
+    edges = [tuple(r) for r in S.forest(df).collect()]
+    assert len(edges) == len(set(edges)) == 6  # 8 nodes in two trees
+    assert S.paper_classes(df.limit(0)).count() == 0
