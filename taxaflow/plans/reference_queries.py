@@ -619,14 +619,109 @@ def _genera(spark: SparkSession, d: str) -> list[str]:
     return Vocabulary([r["genus"] for r in g.limit(Vocabulary.MOST + 1).collect()], "ref_taxa").names
 
 
-@query()
+def _entries(source: str, text: str, pattern: str, strategy: str, extra: str = "0") -> str:
+    """SQL of the valid entries that a pattern finds, with their place in the text."""
+    part = lambda i: f"unnest(regexp_extract_all({text}, '{pattern}', {i}))"
+    return (
+        f"SELECT pdf, page, '{strategy}' AS strategy, {extra} AS side, i, n::INT AS number, g, e FROM (SELECT *, {part(1)} AS n, {part(2)} AS g, {part(3)} AS e,"
+        f" generate_subscripts(regexp_extract_all({text}, '{pattern}', 1), 1) AS i FROM {source}) WHERE valid_name(g, e)"
+    )
+
+
+_STRICT = r"(?m)(?:^|[.;]\s*|,\s+)(\d{1,3})\s*[.)\-–:]\s*([A-Z][a-z]{2,20})\s+([a-z][a-z\-]{2,25})"
+_LOOSE = r"(\d{1,3})\s*[.,:)\-–]\s*([A-Z][a-z]{2,20})\s+([a-z][a-z\-]{2,25})"
+_PAIRS = r"(\d{1,3})\s*[.,;:)\-–]\s*([A-Z][a-z]{2,20})\s+([a-z][a-z\-]{2,25})"
+_FIGURE = r"(?is)(?:Figs?\.?|Figures?|Plate|Prancha)\s*[\d.,\-–\s]+[.:\-–]\s*(.+)"
+_SHORT = r"(\d{1,3})\s*[.,;:)\-–]\s*([A-Z])\.\s*([a-z][a-z\-]{2,25})"
+_VALID = (
+    "(length(e) >= 5 AND length(g) >= 4 AND NOT regexp_matches(g, '(aceae|ales|idae|inae|oideae|mycota|mycetes|ing|tion|sion|ment|ness|less|ance|ence|ical|ular|ious|eous|able)$')"
+    f" AND NOT list_contains({_list(P.NOT_LEGEND_GENERA)}, g) AND NOT list_contains({_list(P.NOT_LEGEND_EPITHETS)}, e))"
+)
+_LEGENDS = (
+    _BL
+    + """, p AS (SELECT paper AS pdf, page, string_agg(text, chr(10) ORDER BY block_no NULLS FIRST, text) AS text FROM bl GROUP BY ALL),
+near AS (SELECT a.pdf, a.page, b.text, CASE WHEN b.page < a.page THEN 1 ELSE 2 END AS side FROM p a JOIN p b ON a.pdf = b.pdf AND (b.page = a.page - 1 OR b.page = a.page + 1)),
+fig AS (SELECT pdf, page, regexp_extract(text, '"""
+    + _FIGURE
+    + """', 1) AS text FROM p),
+h1 AS ("""
+    + _entries("p", "text", _STRICT, "legend_strict")
+    + """), h2 AS ("""
+    + _entries("p", "text", _LOOSE, "legend_loose")
+    + """), h3 AS ("""
+    + _entries("fig", "text", _PAIRS, "caption_pairs")
+    + """), h5 AS ("""
+    + _entries("near", "text", _STRICT, "adjacent_pages", "side")
+    + """),
+a1 AS (SELECT *, 1 AS way FROM h1 QUALIFY row_number() OVER (PARTITION BY pdf, page, number ORDER BY i) = 1),
+a2 AS (SELECT * FROM a1 UNION ALL (SELECT *, 2 FROM h2 WHERE (SELECT count(*) FROM a1 WHERE a1.pdf = h2.pdf AND a1.page = h2.page) < 2
+    AND NOT EXISTS (SELECT 1 FROM a1 WHERE a1.pdf = h2.pdf AND a1.page = h2.page AND a1.number = h2.number) QUALIFY row_number() OVER (PARTITION BY pdf, page, number ORDER BY i) = 1)),
+a3 AS (SELECT * FROM a2 UNION ALL (SELECT *, 3 FROM h3 WHERE (SELECT count(*) FROM a2 WHERE a2.pdf = h3.pdf AND a2.page = h3.page) < 2
+    AND NOT EXISTS (SELECT 1 FROM a2 WHERE a2.pdf = h3.pdf AND a2.page = h3.page AND a2.number = h3.number) QUALIFY row_number() OVER (PARTITION BY pdf, page, number ORDER BY i) = 1)),
+modal AS (SELECT pdf, page, g FROM (SELECT pdf, page, g, count(*) AS n, min(way * 1000000 + i) AS seen FROM a3 GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY pdf, page ORDER BY n DESC, seen) = 1),
+s4 AS (SELECT p.pdf, p.page, modal.g, unnest(regexp_extract_all(text, '"""
+    + _SHORT
+    + """', 1)) AS n, unnest(regexp_extract_all(text, '"""
+    + _SHORT
+    + """', 2)) AS initial, unnest(regexp_extract_all(text, '"""
+    + _SHORT
+    + """', 3)) AS e, generate_subscripts(regexp_extract_all(text, '"""
+    + _SHORT
+    + """', 1), 1) AS i FROM p JOIN modal USING (pdf, page)),
+a4 AS (SELECT * FROM a3 UNION ALL (SELECT pdf, page, 'abbreviated', 0, i, n::INT, g, e, 4 FROM s4 WHERE initial = substring(g, 1, 1) AND valid_name(g, e)
+    AND NOT EXISTS (SELECT 1 FROM a3 WHERE a3.pdf = s4.pdf AND a3.page = s4.page AND a3.number = s4.n::INT) QUALIFY row_number() OVER (PARTITION BY pdf, page, n::INT ORDER BY i) = 1)),
+a5 AS (SELECT * FROM a4 UNION ALL (SELECT *, 5 FROM h5 WHERE NOT EXISTS (SELECT 1 FROM a4 WHERE a4.pdf = h5.pdf AND a4.page = h5.page) QUALIFY row_number() OVER (PARTITION BY pdf, page, number ORDER BY side, i) = 1))
+SELECT pdf, page, number, g AS genus, e AS epithet, strategy, CASE WHEN g IN (SELECT genus FROM ref_taxa WHERE taxon_rank = 'genus')
+  THEN CASE strategy WHEN 'legend_strict' THEN 0.95 WHEN 'legend_loose' THEN 0.85 WHEN 'caption_pairs' THEN 0.8 WHEN 'abbreviated' THEN 0.7 ELSE 0.65 END
+  ELSE CASE strategy WHEN 'legend_strict' THEN 0.522 WHEN 'legend_loose' THEN 0.468 WHEN 'caption_pairs' THEN 0.44 WHEN 'abbreviated' THEN 0.385 ELSE 0.358 END END::DOUBLE AS confidence FROM a5"""
+).replace("valid_name(g, e)", _VALID)
+
+
+@query(_LEGENDS)
 def e4_legends(spark: SparkSession, d: str) -> DataFrame:
     g = _genera(spark, d)
     p = legend.legends(_pages(spark, d), g)
     return p.select("pdf", "page", F.explode("legend").alias("l")).select("pdf", "page", "l.*")
 
 
-@query()
+_NAME = r"\b([A-Z][a-z]{2,20})\s+([a-z][a-z\-]{2,25})\b"
+_RESOLVED = (
+    _LEGENDS.rsplit("SELECT pdf, page, number,", 1)[0]
+    + ", l AS (SELECT pdf, page, number,"
+    + _LEGENDS.rsplit("SELECT pdf, page, number,", 1)[1]
+    + """), voc AS (SELECT DISTINCT genus FROM ref_taxa WHERE taxon_rank = 'genus'),
+nr AS (SELECT * FROM (SELECT paper AS pdf, page, image_id AS crop_id, block_no, text, sqrt(((bx0 + bx1) / 2 - (x0 + x1) / 2) ** 2 + ((by0 + by1) / 2 - (y0 + y1) / 2) ** 2) AS dist,
+    row_number() OVER (PARTITION BY paper, page, image_id ORDER BY dist, block_no, text) AS rank FROM im JOIN bl USING (paper, page)) WHERE rank <= 8 AND dist <= 250),
+nu AS (SELECT *, unnest(regexp_extract_all(text, '\\b(\\d{1,3})\\b', 1)) AS n, generate_subscripts(regexp_extract_all(text, '\\b(\\d{1,3})\\b', 1), 1) AS pos FROM nr),
+ca AS (SELECT pdf, page, crop_id, 0 AS way, rank, pos, genus || ' ' || epithet AS binomial, strategy, confidence, round(dist, 2) AS dist FROM nu JOIN l USING (pdf, page) WHERE n::INT = number),
+nb AS (SELECT *, unnest(regexp_extract_all(text, '"""
+    + _NAME
+    + """', 1)) AS g, unnest(regexp_extract_all(text, '"""
+    + _NAME
+    + """', 2)) AS e, generate_subscripts(regexp_extract_all(text, '"""
+    + _NAME
+    + """', 1), 1) AS pos FROM nr),
+cb AS (SELECT pdf, page, crop_id, 1 AS way, rank, pos, g || ' ' || e AS binomial, 'proximity_binomial' AS strategy, 0.55::DOUBLE AS confidence, round(dist, 2) AS dist FROM nb WHERE valid_name(g, e) AND g IN (SELECT genus FROM voc)),
+pf AS (SELECT pdf, page, unnest(regexp_extract_all(text, '"""
+    + _NAME
+    + """', 1)) AS g, unnest(regexp_extract_all(text, '"""
+    + _NAME
+    + """', 2)) AS e, generate_subscripts(regexp_extract_all(text, '"""
+    + _NAME
+    + """', 1), 1) AS pos FROM p),
+cc AS (SELECT im.paper AS pdf, im.page, image_id AS crop_id, 2 AS way, 0 AS rank, 0 AS pos, g || ' ' || e AS binomial, 'page_fallback' AS strategy, 0.4::DOUBLE AS confidence, NULL::DOUBLE AS dist FROM im
+  JOIN (SELECT * FROM pf WHERE valid_name(g, e) AND g IN (SELECT genus FROM voc) QUALIFY row_number() OVER (PARTITION BY pdf, page ORDER BY pos) = 1) f ON f.pdf = im.paper AND f.page = im.page),
+al AS (SELECT * FROM ca UNION ALL SELECT * FROM cb UNION ALL SELECT * FROM cc),
+tp AS (SELECT *, row_number() OVER (PARTITION BY pdf, page, crop_id ORDER BY confidence DESC, dist ASC NULLS LAST, way, rank, pos) AS place FROM al),
+st AS (SELECT pdf, page, crop_id, count(*) AS n FROM tp WHERE place <= 5 GROUP BY ALL)
+SELECT im.paper AS pdf, im.page, image_id AS crop_id, binomial, string_split(binomial, ' ')[1] AS genus, string_split(binomial, ' ')[2] AS epithet, coalesce(strategy, 'pdf_filename') AS strategy,
+  coalesce(confidence, 0.15) AS confidence, CASE WHEN binomial IS NULL THEN 'PDF stem=' || regexp_replace(substring(regexp_replace(regexp_replace(regexp_replace(im.paper, '\\.[^.]*$', ''), '[^\\p{L}\\p{N}_\\s\\-]', '', 'g'),
+  '[\\s\\-]+', '_', 'g'), 1, 30), '_[^_]*$', '') END AS note, coalesce(n, 0)::INT AS n_candidates
+FROM im LEFT JOIN (SELECT * FROM tp WHERE place = 1) t ON t.pdf = im.paper AND t.page = im.page AND t.crop_id = im.image_id LEFT JOIN st ON st.pdf = im.paper AND st.page = im.page AND st.crop_id = im.image_id"""
+).replace("valid_name(g, e)", _VALID)
+
+
+@query(_RESOLVED)
 def e5_resolved(spark: SparkSession, d: str) -> DataFrame:
     g = _genera(spark, d)
     pages = legend.legends(_pages(spark, d), g)
