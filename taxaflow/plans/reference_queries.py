@@ -530,7 +530,13 @@ def e2_names_of_documents(spark: SparkSession, d: str) -> DataFrame:
     return captions.epithet_of_pages(pages, "paper", None).select("paper", "epithet.rule", "epithet.genus", "epithet.binomial")
 
 
-@query()
+_E1_SQL = _E1.replace("<e>", _list(P.NOT_EPITHETS)).replace("<n>", _list(P.NOT_GENERA)).replace("<blocked>", "'" + P.BLOCKED_SECTION.replace("(?iU)", "(?i)") + "'")
+
+
+@query(
+    f"SELECT c.rec_id, CASE WHEN c.binomial IS NOT NULL OR c.genus IS NOT NULL THEN c.rule ELSE s.rule END AS rule, CASE WHEN c.binomial IS NOT NULL OR c.genus IS NOT NULL THEN c.binomial ELSE s.binomial END AS binomial"
+    f" FROM ({_E1_SQL}) c JOIN ({_E1_SQL.replace("caption_raw", "epithet.context_snippet")}) s USING (rec_id)"
+)
 def e3_name_or_page(spark: SparkSession, d: str) -> DataFrame:
     t = _read(spark, d, "training_index")
     e = captions.epithet_or_page(F.col("caption_raw"), F.col("epithet.context_snippet"))
