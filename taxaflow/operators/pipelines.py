@@ -77,6 +77,17 @@ def specimen_files(pages: DataFrame, images: DataFrame) -> DataFrame:
     return r.select(F.format_string("%s_pg%03d_img%02d_cond%02d.png", naming.safe(F.col("species")), "page", "img_no", F.col("box") + 1).alias("name"), "crop_h", "crop_w", "crop")
 
 
+def specimen_totals(images: DataFrame) -> DataFrame:
+    """(pdf, images, failed, drawings): of each document its images, those that can't be read, and the drawings found in the others.
+
+    Takes images (image_id, pdf, height, width, channels, data).
+    """
+    bad = F.col("data").isNull() | (F.length("data") != F.col("height") * F.col("width") * F.col("channels"))
+    found = vision.drawings(images.filter(~bad)).groupBy("image_id").agg(F.count("*").alias("n"))
+    i = images.select("image_id", "pdf", F.coalesce(bad, F.lit(True)).alias("bad")).join(found, "image_id", "left")
+    return i.groupBy("pdf").agg(F.count("*").alias("images"), F.count_if("bad").alias("failed"), F.coalesce(F.sum("n"), F.lit(0)).alias("drawings"))
+
+
 def relabel(all_records: DataFrame, seen: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(records with their new types and paths, counts per new type). Takes records by ``rec_id``."""
     new = records.relabelled(all_records, seen).select("rec_id", "new_type", "new_raw", records.moved_to(F.col("saved_to"), F.col("new_raw")).alias("new_path"))

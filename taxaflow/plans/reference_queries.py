@@ -891,6 +891,86 @@ def v3_specimens(spark: SparkSession, d: str) -> DataFrame:
     return vision.specimens(_images(spark, d)).drop("crop")
 
 
+def _coloured(spark: SparkSession, d: str) -> DataFrame:
+    """Colour images made of the vectors: 4 x 4 cells of 64 pixels, each with a rectangle of dark red, green or blue whose sides follow from a value."""
+    import numpy as np
+    import pandas as pd
+
+    def draw(batches):
+        for b in batches:
+            data = []
+            for i, v in zip(b["vec_id"], b["embedding"], strict=True):
+                n = np.floor(np.abs(np.asarray(v, np.float64)[:16]) * 1000).astype(int)
+                img = np.full((256, 256, 3), 250, np.uint8)
+                ink = np.full(3, 20, np.uint8)
+                ink[i % 3] = 120
+                for k in range(16):
+                    y, x = 64 * (k // 4) + 8, 64 * (k % 4) + 8
+                    img[y : y + 24 + n[k] // 25 % 25, x : x + 24 + n[k] % 25] = ink
+                data.append(img.tobytes())
+            yield pd.DataFrame({"image_id": b["vec_id"], "height": 256, "width": 256, "channels": 3, "data": data})
+
+    return spread(_read(spark, d, "embeddings").select("vec_id", "embedding")).mapInPandas(draw, "image_id long, height int, width int, channels int, data binary")
+
+
+_RECT = """WITH n AS (SELECT vec_id, k, CAST(floor(abs(embedding[k + 1]::DOUBLE) * 1000) AS INT) AS n FROM embeddings, range(16) t(k)),
+r AS (SELECT vec_id AS image_id, (64 * (k % 4) + 8)::INT AS x, (64 * (k // 4) + 8)::INT AS y, 24 + n % 25 AS w, 24 + n // 25 % 25 AS h FROM n)
+"""
+
+
+@query(_RECT + "SELECT image_id, x, y, w, h FROM r")
+def v3_rectangles(spark: SparkSession, d: str) -> DataFrame:
+    return vision.specimens(_coloured(spark, d)).select("image_id", "x", "y", "w", "h")
+
+
+@query(_RECT + "SELECT image_id, x, y, w, h FROM r")
+def v6_rectangles(spark: SparkSession, d: str) -> DataFrame:
+    return vision.drawings(_coloured(spark, d)).select("image_id", "x", "y", "w", "h")
+
+
+@query(
+    _RECT
+    + """, f AS (SELECT image_id, sum(w * h) / 65536.0 AS ink FROM r GROUP BY image_id)
+SELECT image_id, 256 AS width, 256 AS height, round(ink * 213, 4) AS sat_mean, round(1 - ink, 4) AS white_bg_ratio, CASE WHEN image_id % 3 = 2 THEN round(ink, 4) ELSE 0.0 END AS blue_dominance FROM f"""
+)
+def v1_features(spark: SparkSession, d: str) -> DataFrame:
+    f = vision.features(_coloured(spark, d))
+    return f.select("image_id", "width", "height", *(F.round(c, 4).alias(c) for c in ("sat_mean", "white_bg_ratio", "blue_dominance")))
+
+
+@query(
+    """WITH s AS (SELECT vec_id, 'plate' || (vec_id % 7) AS pdf, vec_id // 7 % 5 + 1 AS page, vec_id // 35 + 1 AS img, unnest(generate_series(1, 16)) AS k FROM embeddings WHERE vec_id % 11 <> 0)
+SELECT printf('%s_pg%03d_img%02d_cond%02d.png', CASE WHEN page % 2 = 0 THEN 'Tetracladium_marchalianum' ELSE pdf END, page, img, k) AS name FROM s"""
+)
+def e9_specimen_files(spark: SparkSession, d: str) -> DataFrame:
+    return pipelines.specimen_files(*_plates(spark, d)).select("name")
+
+
+@query(
+    """SELECT 'plate' || (vec_id % 7) || '.pdf' AS pdf, count(*) AS images, count(CASE WHEN vec_id % 11 = 0 THEN 1 END) AS failed, 16 * count(CASE WHEN vec_id % 11 <> 0 THEN 1 END) AS drawings
+FROM embeddings GROUP BY ALL"""
+)
+def e9_totals(spark: SparkSession, d: str) -> DataFrame:
+    return pipelines.specimen_totals(_plates(spark, d)[1])
+
+
+def _plates(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(pages, images): the coloured images as those of seven documents of five pages; every eleventh can't be read."""
+    i = F.col("image_id")
+    images = _coloured(spark, d).withColumns(
+        {
+            "pdf": F.concat(F.lit("plate"), (i % 7).cast("string"), F.lit(".pdf")),
+            "page": (F.floor(i / 7) % 5 + 1).cast("int"),
+            "img_no": (F.floor(i / 35) + 1).cast("int"),
+            "data": F.when(i % 11 == 0, F.substring("data", 1, 100)).otherwise(F.col("data")),
+        }
+    )
+    named = F.when(F.col("page") % 2 == 0, "Fig. 3. Tetracladium marchalianum, conidia").otherwise("no name here")
+    return _read(spark, d, "embeddings").select(
+        F.concat(F.lit("plate"), (F.col("vec_id") % 7).cast("string"), F.lit(".pdf")).alias("pdf"), (F.floor(F.col("vec_id") / 7) % 5 + 1).cast("int").alias("page")
+    ).distinct().withColumn("text", named), images
+
+
 @query()
 def v6_drawings(spark: SparkSession, d: str) -> DataFrame:
     return vision.drawings(_images(spark, d)).drop("crop")
