@@ -389,9 +389,22 @@ def a18_coverage(spark: SparkSession, d: str) -> DataFrame:
     return records.coverage(_flat(spark, d)).select(F.round("ambiguous_share", 6).alias("ambiguous_share"), F.round("binomial_rate", 6).alias("binomial_rate"))
 
 
-_CASE = " ".join(f"WHEN {c} THEN '{r}'" for r, c, _, _ in records.RULES)
-_TYPE = " ".join(f"WHEN {c} THEN '{t}'" for _, c, t, _ in records.RULES)
-_CONF = " ".join(f"WHEN {c} THEN {p}" for _, c, _, p in records.RULES)
+#: The rules of the image types, written out apart from those of the engine (fixed values).
+_RULES = [
+    ("R1", "white_bg_ratio > 0.55 AND sat_mean < 28 AND edge_density > 0.030", "DRAWING", 0.90),
+    ("R2", "blue_dominance > 0.18 OR sat_mean > 55", "MICROSCOPY", 0.85),
+    ("R3", "white_bg_ratio > 0.70 AND edge_density > 0.020", "DRAWING", 0.80),
+    ("R4", "sat_mean < 15 AND edge_density < 0.010", "MICROSCOPY", 0.70),
+    ("R5", "white_bg_ratio > 0.60 AND edge_density > 0.015", "DRAWING", 0.72),
+    ("R6", "white_bg_ratio < 0.30 AND edge_density < 0.025", "MICROSCOPY", 0.68),
+    ("R7", "hist_entropy > 3.8 AND white_bg_ratio < 0.45", "MICROSCOPY", 0.65),
+    ("R8", "sat_mean < 3 AND white_bg_ratio < 0.40", "MICROSCOPY", 0.68),
+    ("R9", "sat_mean < 3 AND white_bg_ratio >= 0.40 AND edge_density < 0.022", "DRAWING", 0.68),
+    ("R10", "white_bg_ratio > 0.75 AND edge_density < 0.010", "DRAWING", 0.65),
+]
+_CASE = " ".join(f"WHEN {c} THEN '{r}'" for r, c, _, _ in _RULES)
+_TYPE = " ".join(f"WHEN {c} THEN '{t}'" for _, c, t, _ in _RULES)
+_CONF = " ".join(f"WHEN {c} THEN {p}" for _, c, _, p in _RULES)
 
 
 @query(
@@ -421,6 +434,20 @@ _RELABEL = (
 )
 
 
+@query(
+    _RELABEL.replace("WITH t AS (SELECT rec_id,", f"WITH t AS (SELECT CASE WHEN sat_mean IS NULL THEN 'AMBIGUOUS' {_TYPE} ELSE 'AMBIGUOUS' END AS seen, rec_id,")
+    .replace("FROM training_index", "FROM (SELECT *, classifier.sat_mean AS sat_mean, classifier.white_bg_ratio AS white_bg_ratio, classifier.edge_density AS edge_density, classifier.hist_entropy AS hist_entropy, classifier.blue_dominance AS blue_dominance FROM training_index)")
+    .replace("THEN 'NOISE' WHEN", "THEN 'NOISE' WHEN seen <> 'AMBIGUOUS' THEN seen WHEN")
+)
+def f24_relabelled_by_image(spark: SparkSession, d: str) -> DataFrame:
+    """Ambiguous records whose image was measured get the type its features give, before the caption is asked."""
+    t = _read(spark, d, "training_index")
+    named = [F.col(f"classifier.{c}").alias(c) for c in ("sat_mean", "white_bg_ratio", "edge_density", "hist_entropy", "blue_dominance")]
+    seen = records.classified(t.filter("classifier.sat_mean IS NOT NULL").select("rec_id", *named)).select("rec_id", F.col("image_type").alias("seen"))
+    r = records.relabelled(t.select("rec_id", "image_type", "caption_raw", "saved_to").join(seen, "rec_id", "left"), F.col("seen"))
+    return r.select("rec_id", "new_raw", "new_type", records.moved_to(F.col("saved_to"), F.col("new_raw")).alias("new_path"))
+
+
 @query(_RELABEL)
 def f24_relabelled(spark: SparkSession, d: str) -> DataFrame:
     t = _read(spark, d, "training_index")

@@ -30,6 +30,11 @@ def lines(rows: DataFrame, path: str) -> None:
     rows.select(F.concat(F.lit('{"label":'), F.to_json(F.array("label")).substr(F.lit(2), F.length(F.to_json(F.array("label"))) - 2), F.lit(',"properties":'), "properties", F.lit("}")).alias("value")).write.mode("overwrite").text(path)
 
 
+def results(rows: DataFrame, path: str) -> None:
+    """One JSON object per row, null fields written out, with two blanks of indent: ``path`` is a folder of text files."""
+    rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false", "pretty": "true"}).alias("value")).write.mode("overwrite").text(path)
+
+
 def predictions_csv(rows: DataFrame, path: str) -> None:
     """Predictions as CSV with a header, confidence with four digits."""
     rows.withColumn("confidence", F.format_string("%.4f", "confidence")).write.mode("overwrite").option("header", True).csv(path)

@@ -72,6 +72,9 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "index")).count() == 4
     sinks.predictions_csv(df, str(tmp_path / "csv"))
     assert {r.confidence for r in spark.read.option("header", True).csv(str(tmp_path / "csv")).collect()} == {"0.5123", "1.0000"}
+    sinks.results(df.limit(1).withColumn("none", F.lit(None).cast("string")), str(tmp_path / "json"))
+    text = "\n".join(r.value for r in spark.read.text(str(tmp_path / "json"), wholetext=True).collect())
+    assert json.loads(text) == {"id": "a", "image_type": "DRAWING", "confidence": 0.51234, "point": "x", "n": 1, "none": None} and "\n  " in text
     sinks.summary(df, str(tmp_path / "s.md"), "point", "image_type")
     assert (tmp_path / "s.md").read_text().startswith("## x (2)")
     sinks.replace(df, str(tmp_path / "t"))
