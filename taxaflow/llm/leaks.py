@@ -263,7 +263,7 @@ def report(found: DataFrame, items: DataFrame) -> DataFrame:
     An item of fewer than RUN words can't be found; its ``docs`` is null.
     """
     n = found.groupBy("item_id").agg(F.count_distinct("doc_id").alias("docs"), F.count_if("answer").alias("with_answer"))
-    count = F.udf(lambda t: len(words(t)), "int")
+    count = F.pandas_udf(lambda t: t.map(lambda x: len(words(x))).astype("int32"), "int")
     sized = items.filter("item_id IS NOT NULL").groupBy("item_id").agg(F.min("suite").alias("suite"), F.max(count("text")).alias("words"))
     shown = lambda c: F.when(F.col("words") >= RUN, F.coalesce(c, F.lit(0))).alias(c)
     return sized.join(n, "item_id", "left").select("item_id", "suite", "words", shown("docs"), shown("with_answer"))
