@@ -112,7 +112,7 @@ def named_predictions(ranked: DataFrame, targets: DataFrame, least: float = 0.35
     ending = F.lower(F.regexp_extract(file, r"(\.[^.]*)$", 1))
     point = F.when(F.size("parts") > 1, F.get("parts", F.lit(0))).otherwise("RAIZ")
     unnamed = lambda c: F.when(F.col("best_genus") == "UNKNOWN", F.regexp_replace(c, "UNKNOWN_sp__conf", "UNKNOWN__conf")).otherwise(c)
-    out = F.concat(safe(point), F.lit("/"), unnamed(output_name(stem, F.col("best_genus"), F.col("best_species"), F.col("confidence"), ending, least)))
+    out = F.concat(safe(point), F.lit("/"), unnamed(output_name(safe(stem), F.col("best_genus"), F.col("best_species"), F.col("confidence"), ending, least)))
     return r.select(
         point.alias("sampling_point"), F.col("path").alias("target_path"), "best_genus", "best_species", F.format_number("confidence", 4).alias("confidence"),
         F.to_json(F.coalesce("t", F.array().cast("array<struct<place:int,genus:string,species:string,share:double>>"))).alias("top3_json"), out.alias("output_path"),

@@ -113,3 +113,30 @@ def test_embedding_leaves_out_what_fails(spark):
     df = spark.createDataFrame([(1, 1, 2, 1, bytearray([3, 4])), (2, 1, 2, 1, bytearray([0, 0])), (3, 9, 9, 1, bytearray([1]))], "image_id long, height int, width int, channels int, data binary")
     got = similarity.embedded(df, lambda: lambda a: a.ravel()).collect()
     assert [(r.image_id, [round(x, 6) for x in r.vector]) for r in got] == [(1, [0.6, 0.8])]
+
+
+def test_repeated_query_ids_in_several_blocks(spark, monkeypatch):
+    """Rows of one query id are never lost, however the blocks fall."""
+    monkeypatch.setattr(similarity, "BLOCK", 2)
+    index = spark.createDataFrame([(i, [float(i == j) for j in range(6)]) for i in range(6)], "id long, vector array<double>")
+    queries = spark.createDataFrame([(100 + i // 2, [float(i == j) for j in range(6)]) for i in range(6)] + [(100, [1.0] + [0.0] * 5), (None, [1.0] * 6), (7, None)], "query_id long, vector array<double>")
+    got = {(r.query_id, r.id) for r in similarity.neighbours(queries, index, 2).filter("sim = 1").collect()}
+    assert got == {(100 + i // 2, i) for i in range(6)}
+    assert similarity.neighbours(queries.limit(0), index).count() == 0
+
+
+def test_named_predictions(spark):
+    ranked = spark.createDataFrame([(1, "Tetracladium", "marchalianum", 0.6, 1), (1, "Lemonniera", "aquatica", 0.4, 2), (2, "Alatospora", "sp", 0.345, 1)], "query_id long, genus string, species string, share double, place int")
+    targets = spark.createDataFrame([(1, "river one/a b.PNG"), (2, "c.jpg"), (3, "x/y/d")], "query_id long, path string")
+    got = {r.target_path: r for r in similarity.named_predictions(ranked, targets).collect()}
+    a, c, d = got["river one/a b.PNG"], got["c.jpg"], got["x/y/d"]
+    assert a.asDict().keys() == {"sampling_point", "target_path", "best_genus", "best_species", "confidence", "top3_json", "output_path"}
+    assert (a.sampling_point, a.confidence, a.output_path) == ("river one", "0.6000", "river_one/a_b__Tetracladium_marchalianum__conf60.png")
+    assert (c.sampling_point, c.output_path) == ("RAIZ", "RAIZ/c__UNCERTAIN_Alatospora_sp__conf34.jpg")
+    assert (d.best_genus, d.top3_json, d.output_path) == ("UNKNOWN", "[]", "x/d__UNCERTAIN_UNKNOWN__conf00")
+
+
+def test_few_shot(spark):
+    index = spark.createDataFrame([(i, [1.0, 0.0] if i % 2 else [0.0, 1.0], i % 2) for i in range(1, 9)], "id long, vector array<double>, label int")
+    got = {r.shots: (r.queries, r.hits) for r in similarity.few_shot(index.selectExpr("id AS query_id", "vector"), index.select("id", "vector"), index.select("id", "label"), (1, 3)).collect()}
+    assert got[3] == (8, 8) and got[1][0] == 8
