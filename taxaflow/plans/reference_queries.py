@@ -12,7 +12,7 @@ from pyspark.sql.window import Window as W
 from taxaflow.functions import naming, vectors
 from taxaflow.functions import patterns as P
 from taxaflow.operators import captions, graph, legend, pipelines, records, similarity, vision
-from taxaflow.runtime import numbered, spread, stamp
+from taxaflow.runtime import SharedTables, numbered, spread, stamp
 from taxaflow.sources.readers import Vocabulary
 
 Q: dict = {}
@@ -639,11 +639,17 @@ def j18_nearest_blocks(spark: SparkSession, d: str) -> DataFrame:
     return n.select("paper", "page", "crop_id", "block_no", "text", F.round("dist", 4).alias("dist"))
 
 
-def _pages(spark: SparkSession, d: str) -> DataFrame:
+def _layout(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(blocks, pages), each written once: a legend reads three pages at a time, a resolution their blocks as well."""
+    tables = SharedTables(spark, "layout")
+    blocks = tables.save(_blocks(spark, d).withColumnRenamed("paper", "pdf"), "blocks")
+    return blocks, tables.save(_pages(blocks), "pages")
+
+
+def _pages(b: DataFrame) -> DataFrame:
     """Pages as the text of their blocks, in order of number."""
-    b = _blocks(spark, d)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_no", "text"))), lambda x: x["text"]), "\n")
-    return b.groupBy(F.col("paper").alias("pdf"), "page").agg(text.alias("text"))
+    return b.groupBy("pdf", "page").agg(text.alias("text"))
 
 
 def _genera(spark: SparkSession, d: str) -> list[str]:
@@ -713,7 +719,7 @@ SELECT pdf, page, number, g AS genus, e AS epithet, strategy, CASE WHEN g IN (SE
 @query(_LEGENDS)
 def e4_legends(spark: SparkSession, d: str) -> DataFrame:
     g = _genera(spark, d)
-    p = legend.legends(_pages(spark, d), g)
+    p = legend.legends(_layout(spark, d)[1], g)
     return p.select("pdf", "page", F.explode("legend").alias("l")).select("pdf", "page", "l.*")
 
 
@@ -757,9 +763,10 @@ FROM im LEFT JOIN (SELECT * FROM tp WHERE place = 1) t ON t.pdf = im.paper AND t
 @query(_RESOLVED)
 def e5_resolved(spark: SparkSession, d: str) -> DataFrame:
     g = _genera(spark, d)
-    pages = legend.legends(_pages(spark, d), g)
+    blocks, pages = _layout(spark, d)
+    pages = legend.legends(pages, g)
     crops = _crops(_boxes(spark, d)).withColumnRenamed("paper", "pdf")
-    return legend.resolve(crops, _blocks(spark, d).withColumnRenamed("paper", "pdf"), pages, g)
+    return legend.resolve(crops, blocks, pages, g)
 
 
 # --- similarity --------------------------------------------------------------
@@ -1038,13 +1045,13 @@ def e10_page_records(spark: SparkSession, d: str) -> DataFrame:
     i = _image_table(spark, d)
     crops = i.select("pdf", "page", F.col("image_id").alias("crop_id"), "fig_index", ((F.col("x0") + F.col("x1")) / 2).alias("cx"), ((F.col("y0") + F.col("y1")) / 2).alias("cy"), "content_hash")
     kinds = i.select(F.col("image_id").alias("crop_id"), "image_type", "classifier.confidence", F.col("classifier.rule_fired").alias("rule"))
-    return pipelines.page_records(crops, _blocks(spark, d).withColumnRenamed("paper", "pdf"), _pages(spark, d), kinds, g)
+    return pipelines.page_records(crops, *_layout(spark, d), kinds, g)
 
 
 @query()
 def e11_caption_records(spark: SparkSession, d: str) -> DataFrame:
     i = _image_table(spark, d)
-    return pipelines.caption_records(i.drop("classifier", "image_type"), _blocks(spark, d).withColumnRenamed("paper", "pdf"), _pages(spark, d), i.select("image_id", "image_type"))
+    return pipelines.caption_records(i.drop("classifier", "image_type"), *_layout(spark, d), i.select("image_id", "image_type"))
 
 
 @query(
